@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from ridgeline.llm.packing import op8_packing
+from ridgeline.llm.simhash import op7_simhash
 from ridgeline.llm.token_output import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
 }
 
