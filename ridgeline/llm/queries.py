@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ridgeline.llm.packing import op8_packing
+from ridgeline.llm.quality import op9_quality_rules
 from ridgeline.llm.simhash import op7_simhash
 from ridgeline.llm.token_output import op1_token_output
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
