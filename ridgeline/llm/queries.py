@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ridgeline.llm.exact_dedup import op2_exact_dedup
+from ridgeline.llm.mixing import op10_source_mixing
 from ridgeline.llm.packing import op8_packing
 from ridgeline.llm.quality import op9_quality_rules
 from ridgeline.llm.simhash import op7_simhash
@@ -9,9 +11,11 @@ from ridgeline.llm.token_output import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_exact_dedup": op2_exact_dedup,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
