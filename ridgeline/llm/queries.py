@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+from ridgeline.llm.chat_format import OP6_SQL, op6_chat_format
 from ridgeline.llm.exact_dedup import op2_exact_dedup
 from ridgeline.llm.mixing import op10_source_mixing
 from ridgeline.llm.packing import op8_packing
 from ridgeline.llm.quality import op9_quality_rules
 from ridgeline.llm.simhash import op7_simhash
 from ridgeline.llm.token_output import op1_token_output
+from ridgeline.llm.toxicity import op5_toxicity
+from ridgeline.llm.url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op5_toxicity": op5_toxicity,
+    "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": OP3_SQL,
+    "op6_chat_format": OP6_SQL,
+}
