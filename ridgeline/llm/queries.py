@@ -7,6 +7,7 @@ from ridgeline.llm.exact_dedup import op2_exact_dedup
 from ridgeline.llm.mixing import op10_source_mixing
 from ridgeline.llm.packing import op8_packing
 from ridgeline.llm.quality import op9_quality_rules
+from ridgeline.llm.secret_scan import op4_secret_scan
 from ridgeline.llm.simhash import op7_simhash
 from ridgeline.llm.token_output import op1_token_output
 from ridgeline.llm.toxicity import op5_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_secret_scan": op4_secret_scan,
     "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
