@@ -13,6 +13,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column that tells every row apart and is the same each time they are read: the place in its Parquet file.
+
+    docs that aren't read straight from files are written to the shared folder first.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name)
+    try:
+        return docs.select("*", place)
+    except AnalysisException:
+        return materialize(docs, "rows").select("*", place)
+
+
 def split_hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, n_rows: int) -> DataFrame:
     """Inner join of rows with a table that has one row per key and the key's row count.
 

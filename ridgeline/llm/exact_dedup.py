@@ -36,6 +36,8 @@ def _digests(with_text: bool):
             names, cols = ["doc_id", "digest"], [batch.column("doc_id"), digests]
             if with_text:
                 names, cols = [*names, "content"], [*cols, pa.array(texts, pa.binary())]
+            elif "uid" in batch.schema.names:
+                names, cols = [*names, "uid"], [*cols, batch.column("uid")]
             else:
                 names, cols = [*names, "uid"], [*cols, pa.array(np.arange(base, base + len(texts)))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -44,11 +46,13 @@ def _digests(with_text: bool):
     return rows
 
 
-def text_digests(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, digest, uid), written to the shared folder: SHA-256 of each normalised text and a number for each row."""
+def text_digests(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    """(doc_id, digest, uid), written to the shared folder: SHA-256 of each normalised text, and the column `row` or else a number for each row."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(_digests(False), "doc_id long, digest binary, uid long"), "digests")
+    uid = [] if row is None else [F.col(row).alias("uid")]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *uid)
+    kind = rows.schema["uid"].dataType.simpleString() if uid else "bigint"
+    return materialize(rows.mapInArrow(_digests(False), f"doc_id long, digest binary, uid {kind}"), "digests")
 
 
 def group_digests(rows: DataFrame) -> DataFrame:
@@ -135,15 +139,15 @@ def dedup_against(snapshot: Snapshot, incoming: DataFrame, docs: DataFrame, **co
     return whole(snapshot.buckets, 0).union(whole(fresh, 1))
 
 
-def exact_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: (doc_id, keep_id, group_size, kept, digest).
+def exact_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    """One row per row of docs: (doc_id, keep_id, group_size, kept, digest, uid). row: a column that tells rows apart, given back as uid.
 
     Half of the rows, by a hash of their number, form the snapshot; the other half are the incoming batch.
     Texts are equal when their normalised bytes are. The row with the largest doc_id stays; of rows that share
     that doc_id too, exactly one does. Null text counts as empty; a null doc_id stays only if all of its group
     are null; other columns are ignored; an empty table gives no row.
     """
-    rows = text_digests(docs, text=text, doc_id=doc_id).withColumn("batch", F.pmod(F.xxhash64("uid"), F.lit(2)).cast("int"))
+    rows = text_digests(docs, text=text, doc_id=doc_id, row=row).withColumn("batch", F.pmod(F.xxhash64("uid"), F.lit(2)).cast("int"))
     snapshot = Snapshot.of(rows.filter("batch = 0"))
     groups = materialize(dedup_against(snapshot, rows.filter("batch = 1"), docs, text=text, doc_id=doc_id), "digest_groups")
     joined = split_hot_join(rows, groups, ["batch", "digest"], "n", rows.count())

@@ -150,8 +150,8 @@ def _round(docs: DataFrame, cells: DataFrame, tilts: dict[int, float], goals: di
     return made.withColumn("rate", F.col("units") / UNIT).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MAX_COPIES, text: str = "text", doc_id: str = "doc_id", source: str = "source", base: str | None = None) -> DataFrame:
-    """One row per row of docs: (doc_id, source, size, source_size, target, rate, copies, taken).
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MAX_COPIES, text: str = "text", doc_id: str = "doc_id", source: str = "source", base: str | None = None, row: str | None = None) -> DataFrame:
+    """One row per row of docs: (doc_id, source, size, source_size, target, rate, copies, taken) and the column `row`, if given.
 
     Sizes are counted once and written to the shared folder. Rates come from `balance` over cells of equal source,
     size and base, and `_round` makes copies of them. Documents with over LARGE_SHARE of their source's words, of which
@@ -164,8 +164,9 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     """
     spark = docs.sparkSession
     ship(spark)
+    carried = [] if row is None else [row]
     sized = materialize(
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), text_size(F.col(text).cast("string")).alias("size"), (F.lit(1.0) if base is None else F.col(base).cast("double")).alias("base")),
+        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), text_size(F.col(text).cast("string")).alias("size"), (F.lit(1.0) if base is None else F.col(base).cast("double")).alias("base"), *carried),
         "sizes",
     )
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).collect()
@@ -180,7 +181,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     is_large = F.col("size") > F.col("source_size") * LARGE_SHARE
     cells = materialize(known.groupBy("source_no", "size", "base", is_large.alias("large")).agg(F.count("*").alias("docs")), "cells")
     tilts = balance(cells, goal, most=most)
-    columns = ["doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken", *carried]
     few, many = cells.filter("large"), cells.filter("not large")
     small_size = {r["source_no"]: r["n"] for r in many.groupBy("source_no").agg(F.sum(F.col("size") * F.col("docs")).alias("n")).collect()}
     out = None

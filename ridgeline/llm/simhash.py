@@ -62,17 +62,19 @@ def majority(digests: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, *, words: int = SHINGLE_WORDS, seed: int = SEED, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): the 64-bit SimHash of each whole text as a signed long; no words: zero."""
+def fingerprints(docs: DataFrame, *, words: int = SHINGLE_WORDS, seed: int = SEED, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    """(doc_id, fp, row if given): the 64-bit SimHash of each whole text as a signed long; no words: zero."""
     ship(docs.sparkSession)
+    carried = [] if row is None else [F.col(row)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [majority([shingle_hashes(t, words, seed) for t in texts]) for _, texts in text_slices(batch, "text")]
             fp = np.concatenate(fp) if fp else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(make, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carried)
+    return rows.mapInArrow(make, "doc_id long, fp long" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema[2:]))
 
 
 def covering_masks(radius: int = RADIUS, bits: int = _BITS) -> list[int]:
@@ -185,8 +187,9 @@ def hex64(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_groups(docs: DataFrame, *, words: int = SHINGLE_WORDS, radius: int = RADIUS, bucket: int = BUCKET, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: (doc_id, fingerprint, component_id, component_size).
+def near_groups(docs: DataFrame, *, words: int = SHINGLE_WORDS, radius: int = RADIUS, bucket: int = BUCKET, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    """One row per row of docs: (doc_id, fingerprint, component_id, component_size, root) and the column `row`, if given. root is the
+    component's smallest fingerprint.
 
     component_id is the smallest doc_id reachable over links of at most `radius` differing bits. Equal
     fingerprints are one node, so copies cost one row however many there are. Null and empty
@@ -194,14 +197,15 @@ def near_groups(docs: DataFrame, *, words: int = SHINGLE_WORDS, radius: int = RA
     component unless all in it are null; repeated rows stay; other columns are ignored; an empty
     table gives no row.
     """
-    each = materialize(fingerprints(docs, words=words, text=text, doc_id=doc_id), "fingerprints")
+    each = materialize(fingerprints(docs, words=words, text=text, doc_id=doc_id, row=row), "fingerprints")
     nodes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "fingerprint_nodes")
     roots = connected_components(fingerprint_links(nodes, radius=radius, bucket=bucket))
     placed = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", "copies", F.coalesce("root", "fp").alias("root")), "fingerprint_roots")
     groups = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("copies").alias("component_size"), F.count("*").alias("_nodes"))
     n = each.count()
-    named = split_hot_join(placed, groups, ["root"], "_nodes", n).select("fp", "copies", "component_id", "component_size")
-    return split_hot_join(each, materialize(named, "fingerprint_groups"), ["fp"], "copies", n).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id", "component_size")
+    named = split_hot_join(placed, groups, ["root"], "_nodes", n).select("fp", "copies", "component_id", "component_size", "root")
+    joined = split_hot_join(each, materialize(named, "fingerprint_groups"), ["fp"], "copies", n)
+    return joined.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id", "component_size", "root", *([] if row is None else [row]))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
