@@ -197,4 +197,51 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The rates have a closed form without base rates; the rest repeats the rounding.
+_ROUNDED = """
+{name}_units AS (SELECT *, round(least({most}, CASE WHEN source_size = 0 THEN 1.0 ELSE goal / part_size END) * {unit})::BIGINT AS units FROM {rows}),
+{name}_run AS (SELECT *, sum(units) OVER (PARTITION BY source_no ORDER BY size, md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)::BIGINT - units AS before FROM {name}_units),
+{name}_tried AS (SELECT source_no, o, lo, hi, sum(((before + o + units) // {unit} - (before + o) // {unit}) * size) AS t
+  FROM {name}_run, (SELECT ((2 * k + 1) * {unit}) // (2 * {offsets}) AS o FROM range({offsets}) r(k)) GROUP BY ALL),
+{name}_best AS (SELECT source_no, arg_min(o, (greatest(0, lo - t, t - hi), abs(2 * t - lo - hi), o)) AS o FROM {name}_tried GROUP BY source_no),
+{name} AS (SELECT doc_id, source_no, size, source_size, target, (((before + o + units) // {unit} - (before + o) // {unit}) * size)::BIGINT AS taken FROM {name}_run JOIN {name}_best USING (source_no))"""
+
+
+def _rounded(name: str, rows: str) -> str:
+    return _ROUNDED.format(name=name, rows=rows, most=float(MAX_COPIES), unit=UNIT, offsets=OFFSETS)
+
+
+OP10_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)
+), w AS (
+  SELECT *, CASE source_no % {len(WEIGHTS)} {" ".join(f"WHEN {i} THEN {x}::DOUBLE" for i, x in enumerate(WEIGHTS))} END AS weight FROM s
+), q AS (
+  SELECT *, {float(MAX_COPIES)}::DOUBLE * source_size AS most, row_number() OVER (ORDER BY source_size / weight, source_no) AS k FROM w
+), l AS (
+  SELECT *, ({SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM q
+), f AS (SELECT min(k) AS k FROM l WHERE weight * level <= most),
+g AS (
+  SELECT source, source_no, source_size, CASE WHEN l.k < coalesce(f.k, 1e18) THEN most ELSE weight * (SELECT level FROM l l2 WHERE l2.k = f.k) END AS target FROM l, f
+), known AS (
+  SELECT doc_id, d.size, source_no, source_size, target, d.size > source_size * {LARGE_SHARE} AS large FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), small AS (SELECT source_no, sum(size) FILTER (NOT large) AS small_size FROM known GROUP BY source_no),
+large_rows AS (
+  SELECT known.*, target AS goal, source_size::DOUBLE AS part_size, floor(target - {MAX_COPIES} * coalesce(small_size, 0) + 0.2837) AS lo, floor(target + 0.2837) AS hi
+  FROM known JOIN small USING (source_no) WHERE large
+), {_rounded("large_taken", "large_rows")},
+left_over AS (
+  SELECT source_no, small_size, least(greatest(g.target - coalesce((SELECT sum(taken) FROM large_taken x WHERE x.source_no = g.source_no), 0), 0), {MAX_COPIES} * coalesce(small_size, 0))::DOUBLE AS goal
+  FROM g JOIN small USING (source_no)
+), small_rows AS (
+  SELECT known.*, CASE WHEN small_size = 0 AND source_size > 0 THEN 1.0 ELSE left_over.goal END AS goal, CASE WHEN small_size = 0 THEN 1.0 ELSE small_size::DOUBLE END AS part_size, floor(left_over.goal + 0.2837) AS lo, floor(left_over.goal + 0.2837) AS hi
+  FROM known JOIN left_over USING (source_no) WHERE NOT large
+), {_rounded("small_taken", "small_rows")}
+SELECT doc_id, size, source_size, target, taken FROM large_taken UNION ALL SELECT doc_id, size, source_size, target, taken FROM small_taken
+"""

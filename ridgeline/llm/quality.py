@@ -136,3 +136,34 @@ def keep_quality(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_quality(read_table(spark, sf_dir, "documents"))
+
+
+_WINDOWS = """
+w{n} AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + {n} - 1], ' ')) AS times
+  FROM (SELECT doc_id, words, unnest(range(1, n_words - {n} + 2)) AS i FROM t)),
+c{n} AS (SELECT doc_id, count(*) AS covered_words, sum(length(words[i])) AS covered_chars
+  FROM (SELECT DISTINCT doc_id, i + j AS i FROM w{n}, range({n}) r(j) WHERE times > 1) JOIN t USING (doc_id) GROUP BY doc_id)"""
+
+OP9_SQL = f"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words, len(words) AS n_words FROM documents
+), lines AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS nth FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM t)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+), dup_lines AS (
+  SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) AS chars FROM lines WHERE nth > 1 GROUP BY doc_id
+), {", ".join(_WINDOWS.format(n=n) for n in (3, *NGRAM_SHARES))},
+m AS (
+  SELECT t.doc_id, n_words::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(c3.covered_words, 0)::BIGINT AS n_repeat_words,
+    coalesce(dup_lines.chars, 0)::DOUBLE AS line_chars, {", ".join(f"coalesce(c{n}.covered_chars, 0)::DOUBLE AS chars{n}" for n in NGRAM_SHARES)}
+  FROM t LEFT JOIN dup_lines USING (doc_id) {" ".join(f"LEFT JOIN c{n} ON c{n}.doc_id = t.doc_id" for n in (3, *NGRAM_SHARES))}
+), s AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+    coalesce(line_chars / nullif(word_chars, 0), 0) AS dup_line_share, {", ".join(f"coalesce(chars{n} / nullif(word_chars, 0), 0) AS dup_{n}gram_share" for n in NGRAM_SHARES)}
+  FROM m
+)
+SELECT *, NOT base_failed AND dup_line_share <= {LINE_SHARE} AND n_symbols <= {SYMBOLS_PER_WORD} * n_words
+  AND {" AND ".join(f"dup_{n}gram_share <= {m}" for n, m in NGRAM_SHARES.items())} AS kept FROM s
+"""

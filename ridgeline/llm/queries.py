@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ridgeline.llm.chat_format import OP6_SQL, op6_chat_format
-from ridgeline.llm.exact_dedup import op2_exact_dedup
-from ridgeline.llm.mixing import op10_source_mixing
+from ridgeline.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from ridgeline.llm.mixing import OP10_SQL, op10_source_mixing
 from ridgeline.llm.packing import op8_packing
-from ridgeline.llm.quality import op9_quality_rules
+from ridgeline.llm.quality import OP9_SQL, op9_quality_rules
 from ridgeline.llm.secret_scan import op4_secret_scan
 from ridgeline.llm.simhash import op7_simhash
 from ridgeline.llm.token_output import op1_token_output
@@ -27,6 +27,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": OP2_SQL,
     "op3_url_filter": OP3_SQL,
     "op6_chat_format": OP6_SQL,
+    "op9_quality_rules": OP9_SQL,
+    "op10_source_mixing": OP10_SQL,
 }
