@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import materialize, read_table, ship
+from ridgeline.llm.common import lookup, materialize, read_table, ship
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -69,7 +69,7 @@ def balance(cells: DataFrame, targets: dict[int, float], *, most: float = MAX_CO
     spark = cells.sparkSession
     at, low, high = dict.fromkeys(targets, 0.0), dict.fromkeys(targets, -math.inf), dict.fromkeys(targets, math.inf)
     for _ in range(MAX_STEPS):
-        now = spark.createDataFrame(list(at.items()), "source_no int, multiplier double")
+        now = lookup(spark, list(at.items()), "source_no int, multiplier double")
         raw = F.col("base") * F.exp("multiplier")
         mass = F.col("size") * F.col("docs")
         sums = cells.join(now, "source_no").groupBy("source_no").agg(F.sum(mass * F.least(raw, F.lit(float(most)))).alias("reached"), F.sum(F.when(raw < most, mass * raw).otherwise(0.0)).alias("curve")).collect()
@@ -120,19 +120,19 @@ def _round(docs: DataFrame, cells: DataFrame, tilts: dict[int, float], goals: di
     doc_id, doc_id), which a hot source doesn't unbalance; running sums are per-partition sums plus offsets.
     """
     spark = docs.sparkSession
-    rates = spark.createDataFrame([(s, math.exp(t), float(math.floor(lo + 0.2837)), float(math.floor(hi + 0.2837))) for s, t in tilts.items() for lo, hi in [goals[s]]], "source_no int, tilt double, _lo double, _hi double")
+    rates = lookup(spark, [(s, math.exp(t), float(math.floor(lo + 0.2837)), float(math.floor(hi + 0.2837))) for s, t in tilts.items() for lo, hi in [goals[s]]], "source_no int, tilt double, _lo double, _hi double")
     units = F.round(F.least(F.lit(float(most)), F.col("base") * F.col("tilt")) * UNIT).cast("long")
     per_source = cells.join(rates, "source_no").groupBy("source_no").agg(F.sum(units * F.col("docs")).alias("n")).collect()
-    firsts = spark.createDataFrame(_offsets([(r["source_no"], r["n"]) for r in per_source]), "source_no int, source_first long")
+    firsts = lookup(spark, _offsets([(r["source_no"], r["n"]) for r in per_source]), "source_no int, source_first long")
     keys = ["source_no", "size", "_hash", "doc_id"]
     ranged = docs.join(rates, "source_no").withColumn("units", units).withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     ordered = ranged.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_hash", "tilt", "base")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema) + ", part int, before long"
     placed = materialize(ordered.mapInArrow(_running, schema), "places")
     parts = placed.groupBy("part").agg(F.sum("units").alias("n")).collect()
-    starts = spark.createDataFrame(_offsets([(r["part"], r["n"]) for r in parts]), "part int, part_first long")
+    starts = lookup(spark, _offsets([(r["part"], r["n"]) for r in parts]), "part int, part_first long")
     start = F.col("part_first") + F.col("before") - F.col("source_first")
-    near = placed.join(F.broadcast(starts), "part").join(firsts, "source_no").withColumn("_start", start)
+    near = placed.join(starts, "part").join(firsts, "source_no").withColumn("_start", start)
 
     def copies(offset: Column) -> Column:
         low = F.col("_start") + offset
@@ -145,7 +145,7 @@ def _round(docs: DataFrame, cells: DataFrame, tilts: dict[int, float], goals: di
         return F.greatest(F.lit(0.0), F.col("_lo") - t, t - F.col("_hi"))
 
     best = F.array_min(F.array(*[F.struct(miss(F.col(f"_t{o}")).alias("miss"), F.abs(2 * F.col(f"_t{o}") - F.col("_lo") - F.col("_hi")).alias("off"), F.lit(o).alias("offset")) for o in tried]))
-    chosen = spark.createDataFrame([(r["source_no"], r["offset"]) for r in taken.select("source_no", best["offset"].alias("offset")).collect()], "source_no int, _offset long")
+    chosen = lookup(spark, [(r["source_no"], r["offset"]) for r in taken.select("source_no", best["offset"].alias("offset")).collect()], "source_no int, _offset long")
     made = near.join(chosen, "source_no").withColumn("copies", copies(F.col("_offset")).cast("int"))
     return made.withColumn("rate", F.col("units") / UNIT).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
@@ -176,7 +176,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     target = source_targets({r["source"]: r["source_size"] for r in sources}, weights, share, most)
     plan = [(i, r["source"], r["source_size"], target[r["source"]]) for i, r in enumerate(sources)]
     goal = {i: t for i, _, _, t in plan}
-    table = spark.createDataFrame(plan, "source_no int, _source string, source_size long, target double")
+    table = lookup(spark, plan, "source_no int, _source string, source_size long, target double")
     known = sized.join(table, sized["source"].eqNullSafe(table["_source"])).drop("_source")
     is_large = F.col("size") > F.col("source_size") * LARGE_SHARE
     cells = materialize(known.groupBy("source_no", "size", "base", is_large.alias("large")).agg(F.count("*").alias("docs")), "cells")

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import read_table, shared_path, ship, text_slices
+from ridgeline.llm.common import lookup, read_table, shared_path, ship, text_slices
 from ridgeline.llm.encoding import encoder, vocabulary
 
 STRIPE_BYTES = 8 << 20
@@ -84,7 +84,7 @@ def file_starts(tokens: DataFrame) -> DataFrame:
     for r in sorted(ends, key=lambda r: r["file_no"]):
         out.append((r["file_no"], first))
         first += r["held"]
-    return tokens.sparkSession.createDataFrame(out, "file_no int, first long")
+    return lookup(tokens.sparkSession, out, "file_no int, first long")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     tokens = read_tokens(spark, path)
     starts = file_starts(tokens)
     rows = tokens.select("doc_id", "ids", "file_no", "file_start").mapInArrow(_digest, "doc_id long, file_no int, file_start long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(starts), "file_no").select("doc_id", (F.col("first") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(starts, "file_no").select("doc_id", (F.col("first") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
