@@ -113,7 +113,8 @@ def same_bytes(docs: DataFrame, pairs: DataFrame, *, text: str = "text", doc_id:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     contents = rows.mapInArrow(_digests(True), "doc_id long, digest binary, content binary")
     wanted = pairs.select(F.col("digest").alias("_d"), F.col("doc_id").alias("_i")).distinct()
-    found = contents.join(wanted, contents["doc_id"].eqNullSafe(wanted["_i"]) & (contents["digest"] == wanted["_d"]))
+    # Texts are shuffled whatever the number of pairs, so that the plan is the same at every size.
+    found = contents.join(wanted.hint("merge"), contents["doc_id"].eqNullSafe(wanted["_i"]) & (contents["digest"] == wanted["_d"]))
     texts = found.groupBy("digest", "content").agg(F.count("*").alias("_n"))
     return texts.groupBy("digest").agg(F.count("*").alias("_texts")).filter("_texts = 1").select("digest")
 
