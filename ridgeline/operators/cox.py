@@ -10,6 +10,8 @@ from ridgeline.functions.links import WEIGHT_FLOOR, clamp
 
 #: Buckets of time; a window then runs inside a bucket and bucket totals are added on.
 BUCKETS = 64
+#: Distinct times up to this many are summed on the driver, by a count of them.
+LOCAL_TIMES = 200_000
 
 
 def _bucketed(times: DataFrame) -> DataFrame:
@@ -37,6 +39,27 @@ def _running(rows: DataFrame, values: list[str], backwards: bool) -> DataFrame:
     return out.drop(*[f"_o_{v}" for v in values])
 
 
+def _tie_sums(risk: np.ndarray, d: np.ndarray, de: np.ndarray, ties: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per time, over its events: sums of 1 / risk, 1 / risk^2 and log risk, the risk shrinking from event to event for efron."""
+    if ties != "efron":
+        return d / risk, d / risk**2, d * np.log(risk)
+    k = d.astype(int)
+    rows = np.repeat(np.arange(len(d)), k)
+    frac = (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)) / np.maximum(d[rows], 1)
+    left = np.maximum(risk[rows] - frac * de[rows], 1e-300)
+    return tuple(np.bincount(rows, f(left), len(d)) for f in (lambda x: 1 / x, lambda x: 1 / x**2, np.log))
+
+
+def _local_sets(df: DataFrame, times, ties: str) -> DataFrame:
+    times = times.sort_values("time")
+    mass, d, de = (times[c].to_numpy(float) for c in ("mass", "events", "event_risk"))
+    risk = np.maximum(np.cumsum(mass[::-1])[::-1], 1e-300)
+    h, h2, logs = _tie_sums(risk, d, de, ties)
+    rows = np.column_stack([times["time"], d, risk, de, np.cumsum(h), np.cumsum(h2), logs])
+    schema = "time double, events double, risk double, event_risk double, hazard double, hazard2 double, log_risk double"
+    return F.broadcast(df.sparkSession.createDataFrame(rows.tolist(), schema))
+
+
 def risk_sets(df: DataFrame, time: str, event: str, eta: Column, ties: str = "breslow") -> DataFrame:
     """One row per distinct time: events, risk (sum of exp(eta) still at risk), event_risk, hazard and hazard2 (sums up to the time), log_risk.
 
@@ -45,6 +68,9 @@ def risk_sets(df: DataFrame, time: str, event: str, eta: Column, ties: str = "br
     e = F.exp(clamp(eta))
     d = F.col(event).cast("double")
     times = df.select(F.col(time).cast("double").alias("time"), e.alias("_e"), d.alias("_d")).groupBy("time").agg(F.sum("_e").alias("mass"), F.sum("_d").alias("events"), F.sum(F.col("_e") * F.col("_d")).alias("event_risk"))
+    few = times.limit(LOCAL_TIMES + 1).toPandas()
+    if len(few) <= LOCAL_TIMES:
+        return _local_sets(df, few, ties)
     risk = _running(_bucketed(times), ["mass"], backwards=True).withColumnRenamed("cum_mass", "risk").withColumn("risk", F.greatest("risk", F.lit(1e-300)))
     if ties == "efron":
         steps = F.when(F.col("events") > 0, F.sequence(F.lit(0), F.col("events").cast("int") - 1)).otherwise(F.array().cast("array<int>"))
@@ -83,14 +109,7 @@ def local_surrogate(eta: np.ndarray, time: np.ndarray, event: np.ndarray, ties:
     size = len(distinct)
     mass, d, de = np.bincount(at, e, size), np.bincount(at, event, size), np.bincount(at, e * event, size)
     risk = np.maximum(np.cumsum(mass[::-1])[::-1], 1e-300)
-    if ties == "efron":
-        k = d.astype(int)
-        rows = np.repeat(np.arange(size), k)
-        frac = (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)) / np.maximum(d[rows], 1)
-        left = np.maximum(risk[rows] - frac * de[rows], 1e-300)
-        h, h2, logs = (np.bincount(rows, f(left), size) for f in (lambda x: 1 / x, lambda x: 1 / x**2, np.log))
-    else:
-        h, h2, logs = d / risk, d / risk**2, d * np.log(risk)
+    h, h2, logs = _tie_sums(risk, d, de, ties)
     ch, ch2 = np.cumsum(h)[at], np.cumsum(h2)[at]
     w = np.maximum(e * ch - e * e * ch2, WEIGHT_FLOOR)
     return float(logs.sum() - (event * eta).sum()), w, eta - (e * ch - event) / w

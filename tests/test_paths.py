@@ -81,8 +81,10 @@ def test_spark_rounds_equal_local_rounds(frame, family, y, monkeypatch):
     assert np.sign(local.coefs[-1][:2]).tolist() == [1, -1]
 
 
+@pytest.mark.parametrize("times", [0, 10_000])
 @pytest.mark.parametrize("ties", ["breslow", "efron"])
-def test_cox_spark_equals_local(frame, ties):
+def test_cox_spark_equals_local(frame, ties, times, monkeypatch):
+    monkeypatch.setattr(cox, "LOCAL_TIMES", times)
     rows, terms = rows_of(frame, X, "t", second="d")
     far = SparkRows(frame.select(*X, F.col("t").alias("_y"), F.col("d").cast("double").alias("_second")), X, 6)
     beta = np.array([0.5, -0.2, 0.1, 0, 0, 0])
