@@ -21,7 +21,7 @@ from ridgeline.operators.solver import Problem, convex_min_index, lambda_grid, s
 #: Reweighted fits of at most this many numbers run on rows held by the driver; larger ones make a Spark pass per round.
 LOCAL_CELLS = 20_000_000
 MAX_OUTER = 50
-OUTER_TOL = 1e-8
+OUTER_TOL = 1e-7
 
 
 @dataclass
@@ -188,19 +188,25 @@ class LocalRows:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, offset: np.ndarray, second: np.ndarray | None = None):
         self.x, self.y, self.weight, self.offset, self.second = x, y, weight, offset, second
+        self.centered = self.mean = None
 
     def round(self, family: str, beta: np.ndarray, intercept: float, options: dict) -> tuple[Moments, float]:
-        eta = self.x @ beta + intercept + self.offset
+        if self.centered is None:
+            self.mean = self.x.mean(axis=0) if len(self.x) else np.zeros(self.x.shape[1])
+            self.centered = self.x - self.mean
+        x, p = self.centered, self.x.shape[1]
+        eta = x @ beta + (self.mean @ beta + intercept) + self.offset
         if family == "cox":
             loss, w, z = cox.local_surrogate(eta, self.y, self.second, options.get("ties", "breslow"))
-            shift = np.zeros(self.x.shape[1] + 1)
         else:
             rows, w, z = working(family, eta, self.y, self.offset, options)
             loss, w = float((self.weight * rows).sum()), w * self.weight
-            shift = np.append(self.x.mean(axis=0), 0.0)
-        d = np.column_stack([self.x, z]) - shift
-        wd = d * w[:, None]
-        return Moments(len(z), w.sum(), shift, wd.sum(axis=0), d.T @ wd, self.x.shape[1]), loss
+        wx, wz = x * w[:, None], w * z
+        second = np.empty((p + 1, p + 1))
+        second[:p, :p] = x.T @ wx
+        second[:p, p] = second[p, :p] = x.T @ wz
+        second[p, p] = wz @ z
+        return Moments(len(z), w.sum(), np.append(self.mean, 0.0), np.append(wx.sum(axis=0), wz.sum()), second, p), loss
 
 
 class SparkRows:
