@@ -18,6 +18,7 @@ from ridgeline.operators.inference import debiased_glm, debiased_lasso
 from ridgeline.operators.moments import gram_rows, moments
 from ridgeline.operators.paths import Spec, adaptive_path, fit_path, path_from_moments
 from ridgeline.operators.solver import Problem, lambda_grid
+from ridgeline.operators.wide import wide_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -281,6 +282,13 @@ def embedding_lasso_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_path(df, "embedding", "y", P.Lasso(), n_lambdas=20, lambda_min_ratio=0.05).coefficients(spark)
 
 
+@query("wide_lasso_path")
+def wide_lasso_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by gradients of all columns and moments of a working set."""
+    df = table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") == 3).cast("double"))
+    return wide_path(df, "embedding", "y", P.Lasso(), n_lambdas=5, lambda_min_ratio=0.3).coefficients(spark)
+
+
 # --- generalized linear models -----------------------------------------------------------------------------------------
 
 

@@ -144,6 +144,15 @@ def test_adaptive_orthonormal_stability(frame):
     assert np.array_equal(stable.probabilities_, again.probabilities_)
 
 
+def test_working_sets_reach_the_same_path(frame):
+    from ridgeline.operators.wide import wide_path
+
+    for penalty in (P.Lasso(), P.MCP()):
+        grid = {"n_lambdas": 6, "lambda_min_ratio": 0.05}
+        far, near = wide_path(frame, "arr", "y", penalty, add=2, **grid), fit_path(frame, "arr", "y", penalty, **grid)
+        assert np.allclose(far.coefs, near.coefs, atol=1e-6) and np.allclose(far.intercepts, near.intercepts, atol=1e-6)
+
+
 def test_stratified_folds_are_even(frame):
     sizes = stratified_folds(frame, "d", ["id"]).groupBy("d", "fold").count().collect()
     for d in (0, 1):
