@@ -104,3 +104,15 @@ def test_streamed_moments_equal_batch(spark, normals, tmp_path):
     assert len(running.batches) == 3
     assert np.allclose(running.total.centered(), moments(normals, F5, ["y"]).centered())
     assert abs(running.fit(P.Lasso(), lambdas=[0.01]).coefs[0][0] - 1.0) < 0.1
+
+
+def test_public_surface(spark, normals):
+    from ridgeline import api
+
+    assert all(getattr(api, n) is not None for n in api.__all__)
+    est = api.MCPPathRegressor(gamma=3.0, n_lambdas=5).fit(normals, F5, "y")
+    assert est.result_.coefs.shape == (5, 5)
+    rows = api.DebiasedLassoRegressor(alpha=0.1).fit(normals, F5, "y").confidence_intervals(normals)
+    assert rows.count() == 5
+    with pytest.raises(AttributeError):
+        _ = api.NoSuchRegressor
