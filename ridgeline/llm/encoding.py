@@ -16,7 +16,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks held by one worker before it starts afresh.
-MEMO_CHUNKS = 900_000
+MEMO_CHUNKS = 800_000
 
 #: A word of lower-case Latin-1 letters, and a full stop or comma that ends the chunk.
 WORD = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)")
@@ -33,6 +33,17 @@ def vocabulary(path: str | None = None) -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Memo(dict):
+    """Chunk -> its number in the encoder's tables; a chunk not met before is encoded when looked up."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: bytes) -> int:
+        return self.learn(chunk)
+
+
 class ChunkEncoder:
     """Encodes batches of texts; equal to Tokenizer.encode(text, add_special_tokens=False) for each."""
 
@@ -40,46 +51,29 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-
         self.tokenizer, self.memo = Tokenizer.from_file(path), memo
         self.model = self.tokenizer.model
         bytes_as_text = ByteLevel(add_prefix_space=False, use_regex=False)
         self.byte_level = {x: bytes_as_text.pre_tokenize_str(chr(x))[0][0] for x in range(256) if WORD.fullmatch(chr(x))}
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in (".", ",")}
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.flat, self.first, self.length = array("I"), array("Q"), array("I")
-
-    def _put(self, chunk: bytes, ids) -> None:
-        self.slot[chunk] = len(self.first)
-        self.first.append(len(self.flat))
-        self.length.append(len(ids))
-        self.flat.extend(ids)
-
-    def _ids(self, chunk: bytes) -> array:
-        s = self.slot[chunk]
-        return self.flat[self.first[s] : self.first[s] + self.length[s]]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        other, slot, tokenize, table, word = [], self.slot, self.model.tokenize, self.byte_level, WORD.fullmatch
-        for c in chunks:
-            text = c.decode("utf-8")
-            if m := word(text):  # one pre-token of letters that stay as they are: it only needs BPE
-                head, tail = m.groups()
-                ids = [t.id for t in tokenize(head.translate(table))]
-                self._put(c, ids + self._tail(tail) if tail else ids)
-            else:
-                other.append((c, text))
-        for (c, _), e in zip(other, self.tokenizer.encode_batch_fast([x for _, x in other], add_special_tokens=False), strict=True):
-            if c not in slot:
-                self._put(c, e.ids)
-
-    def _tail(self, mark: str) -> list[int]:
-        key = mark.encode()
-        if key not in self.slot:
-            self._put(key, self.tokenizer.encode(mark, add_special_tokens=False).ids)
-        return list(self._ids(key))
+        self.slot = _Memo(self._learn)
+        self.flat, self.ends = array("I"), array("Q", [0])
+
+    def _learn(self, chunk: bytes) -> int:
+        text = chunk.decode("utf-8")
+        if m := WORD.fullmatch(text):  # one pre-token of letters that stay as they are: it only needs BPE
+            head, tail = m.groups()
+            self.flat.extend([t.id for t in self.model.tokenize(head if head.isascii() else head.translate(self.byte_level))])
+            if tail:
+                self.flat.extend(self.marks[tail])
+        else:
+            self.flat.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        slot = self.slot[chunk] = len(self.ends) - 1
+        self.ends.append(len(self.flat))
+        return slot
 
     @staticmethod
     def _chunks(text: str | None) -> list[bytes]:
@@ -98,15 +92,11 @@ class ChunkEncoder:
         if len(self.slot) > self.memo:
             self.forget()
         chunks = [self._chunks(t) for t in texts]
-        flat = list(chain.from_iterable(chunks))
-        found = list(map(self.slot.get, flat))
-        if new := {c for c, s in zip(flat, found, strict=True) if s is None}:
-            self._learn(list(new))
-            found = list(map(self.slot.__getitem__, flat))
-        at = np.array(found, np.int64)
+        at = np.array(list(map(self.slot.__getitem__, chain.from_iterable(chunks))), np.int64)
         words = np.fromiter(map(len, chunks), np.int64, len(chunks))
         # Indexing copies, so that no view is left: an array() can't grow under one.
-        first, length = (np.frombuffer(x, t)[at].astype(np.int64) if len(at) else at for x, t in ((self.first, np.uint64), (self.length, np.uint32)))
+        first = np.frombuffer(self.ends, np.uint64)[at].astype(np.int64)
+        length = np.frombuffer(self.ends, np.uint64)[at + 1].astype(np.int64) - first
         ends = np.concatenate([[0], np.cumsum(length)])
         bounds = ends[np.concatenate([[0], np.cumsum(words)])]
         ids = np.frombuffer(self.flat, np.uint32)[np.repeat(first - ends[:-1], length) + np.arange(ends[-1])] if len(at) else np.empty(0, np.uint32)
