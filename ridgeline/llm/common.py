@@ -104,12 +104,6 @@ def split_hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: s
     hot = F.broadcast(groups.filter(F.col(count) >= bar))
     rest = groups.filter(F.col(count) < bar)
 
-    def on(a: DataFrame, b: DataFrame) -> Column:
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & a[k].eqNullSafe(b[k])
-        return cond
-
     extra = [c for c in groups.columns if c not in keys]
     hot = hot.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *extra)
     rest = rest.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *extra)
