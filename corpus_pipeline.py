@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ridgeline.llm.common import materialize, read_table, with_row_key
 from ridgeline.llm.exact_dedup import exact_groups
 from ridgeline.llm.mixing import mix
+from ridgeline.llm.near_copies import near_copies
 from ridgeline.llm.packing import pack
 from ridgeline.llm.quality import keep_quality
-from ridgeline.llm.simhash import near_groups
 
 _ROW = "_row_place"
 
@@ -31,9 +31,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the row with the smallest doc_id stays."""
+    """Of each group of near copies, by five-word shingles at a Jaccard similarity of 0.8, the row with the smallest doc_id stays."""
     rows = with_row_key(docs, _ROW)
-    groups = near_groups(rows, row=_ROW)
+    groups = near_copies(rows, row=_ROW)
     kept = groups.groupBy("root").agg(F.min(F.struct("doc_id", _ROW)).alias("_first")).select(F.col(f"_first.{_ROW}").alias(_ROW))
     return rows.join(kept, _ROW, "left_semi").select(*docs.columns)
 

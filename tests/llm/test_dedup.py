@@ -10,11 +10,14 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ridgeline.llm import simhash
+import corpus_pipeline
+from ridgeline.llm import near_copies, simhash
 from ridgeline.llm.components import connected_components
 from ridgeline.llm.exact_dedup import Snapshot, dedup_against, exact_groups, text_digests
 from ridgeline.llm.fuse_filter import FuseFilter
 
+from .conftest import documents, prose
+
 
 def lower(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
@@ -144,6 +147,56 @@ def test_splitting_buckets_loses_no_link(spark, bucket):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, made.values()))
 
 
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in (a, b))]
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1])) if any(sets) else 1.0
+
+
+def edited(text, seed, share):
+    rng, words = np.random.default_rng(seed), text.split()
+    for i in rng.choice(len(words), int(share * len(words)), replace=False):
+        words[i] = f"x{rng.integers(10**9)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("rows", [4096, 6])
+def test_near_copies_equal_brute_force_jaccard(spark, odd, monkeypatch, rows):
+    monkeypatch.setattr(near_copies, "TASK_ROWS", rows)
+    texts = [r["text"] for r in odd.collect()]
+    texts += [edited(prose(900 + i, 150 + 20 * i), 10 * i + k, share) for i in range(12) for k, share in enumerate((0, 0.005, 0.01, 0.02, 0.022, 0.024, 0.03, 0.05))]
+    texts += [edited(prose(990, 300), 500 + k, 0.01) for k in range(40)]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert sum(jaccard(texts[i], texts[j]) < 0.85 for i, j in near) > 10
+    parent = list(range(len(texts)))
+    for i, j in near:
+        a, b = parent[i], parent[j]
+        parent = [min(a, b) if p in (a, b) else p for p in parent]
+    got = defaultdict(set)
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, place long").repartition(3)
+    for r in near_copies.near_copies(docs, row="place").collect():
+        got[r["root"]].add(r["place"])
+    want = defaultdict(set)
+    for i, p in enumerate(parent):
+        want[p].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_pipeline_drops_what_is_0_8_similar_and_only_that(spark, tmp_path):
+    base = prose(55, 400)
+    rows = [(1, base), (2, edited(base, 1, 0.02)), (3, edited(base, 2, 0.05))]
+    assert jaccard(base, rows[1][1]) >= 0.8 > jaccard(base, rows[2][1])
+    documents(spark, [(i, t, "en", "s") for i, t in rows]).select("doc_id", "text", "source").write.parquet(str(tmp_path / "d"))
+    kept = corpus_pipeline.near_dedup(spark, spark.read.parquet(str(tmp_path / "d")), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+def test_shared_shingles_are_counted():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in rng.integers(0, 200, 90)]
+    got = near_copies.common_shingles(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(90) for j in range(90) if i != j)
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
