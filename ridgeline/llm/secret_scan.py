@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ridgeline.llm.common import materialize, read_table
 
 #: A value after an assignment to a telling name, or a run of at least 20 characters of base64 or hexadecimal with a digit.
-ASSIGNED = r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?<![A-Za-z0-9_])[^\s\"'<>,;]{8,200}"
-BARE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{20,200}"
+ASSIGNED = r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?<![A-Za-z0-9_])[^\s\"'<>,;]{8,}+"
+BARE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{20,}+"
 CANDIDATE = f"{ASSIGNED}|{BARE}"
 #: Characters of context kept on each side.
 CONTEXT = 48

@@ -68,6 +68,19 @@ def test_secret_candidates_have_their_places(spark):
     assert all(text[s : s + len(v)] == v for s, v in got)
 
 
+def test_long_secrets_are_found_whole(spark):
+    long = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(80))
+    values = [long, long[:200] + long[:3000], "eyJ0" + long[:30] + "." + long[:220] + "." + long[:43], long + "9" * 300_000]
+    rows = [(i, f'see token = "{v}" and more') for i, v in enumerate(values)] + [(10, f"bare {long} run")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["start"], r["value"]) for r in secret_scan.candidates(df).collect()}
+    assert got == {i: (13, v) for i, v in enumerate(values)} | {10: (5, long)}
+    model = secret_scan.train(secret_scan.labelled_findings(spark, 3000))
+    found = secret_scan.scan(df, model).collect()
+    assert {r["doc_id"]: (r["length"], r["value_sha256"]) for r in found} == {i: (len(v), hashlib.sha256(v.encode()).hexdigest()) for i, (_, v) in got.items()}
+    assert all(r["is_secret"] for r in found if r["doc_id"] < 2)
+
+
 def test_forest_tells_keys_from_lookalikes(spark, nothing):
     model = secret_scan.train(secret_scan.labelled_findings(spark, 3000))
     rows = [(1, 'x token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" y'), (2, "commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b done"), (3, "password = your_password_here_1"), (4, "plain words only"), (None, 'secret: "Zx9Q1mPb7Lr2Kt8Vw4Yd6"')]
