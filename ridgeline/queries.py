@@ -495,7 +495,7 @@ def mfdr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stability_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, x = _features(spark, sf_dir)
     df = df.withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return selection.StabilitySelection(P.Lasso(), resamples=20, lambda_min_ratio=0.1).fit(df, x, "planted", "row_id").table(spark)
+    return selection.StabilitySelection(P.Lasso(), resamples=100, lambda_min_ratio=0.1).fit(df, x, "planted", "row_id").table(spark)
 
 
 @query("stratified_fold_sizes", f"WITH {_LI}, c AS (SELECT l_linestatus, count(*) AS n FROM l GROUP BY 1) SELECT l_linestatus, i::INT AS fold, (n // 5 + CASE WHEN i < n % 5 THEN 1 ELSE 0 END)::BIGINT AS n FROM c, range(5) r(i)")
@@ -563,33 +563,33 @@ def glasso_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("glasso_embeddings")
 def glasso_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "embeddings").select(_unit(16))
+    df = table(spark, sf_dir, "embeddings").select(_unit(64))
     model = graphs.GraphicalMCP(0.1).fit(df, "x")
     return graphs.precision_rows(spark, model.precision_, model.terms_)
 
 
 @query("ebic_path")
 def ebic_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "embeddings").select(_unit(12))
+    df = table(spark, sf_dir, "embeddings").select(_unit(64))
     return graphs.ebic_path(spark, moments(df, "x"), [0.3, 0.2, 0.1, 0.05])
 
 
 @query("joint_graph")
 def joint_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "embeddings").select(_unit(8), (F.col("label") % 2).alias("pop"))
+    df = table(spark, sf_dir, "embeddings").select(_unit(64), (F.col("label") % 2).alias("pop"))
     return graphs.JointGraphicalLasso(5.0).fit(df, "x", "pop").table(spark)
 
 
 @query("graph_bootstrap")
 def graph_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "embeddings").select("vec_id", _unit(6))
-    return graphs.GraphicalBootstrap(0.05, resamples=50).fit(df, "x", "vec_id").fdr_threshold(0.1)
+    df = table(spark, sf_dir, "embeddings").select("vec_id", _unit(64))
+    return graphs.GraphicalBootstrap(0.05, resamples=200).fit(df, "x", "vec_id").fdr_threshold(0.1)
 
 
 @query("graph_stability")
 def graph_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "embeddings").select("vec_id", _unit(6))
-    return graphs.GraphicalStabilitySelection([0.05, 0.02], resamples=20).fit(df, "x", "vec_id").table(spark)
+    df = table(spark, sf_dir, "embeddings").select("vec_id", _unit(64))
+    return graphs.GraphicalStabilitySelection([0.05, 0.02], resamples=100).fit(df, "x", "vec_id").table(spark)
 
 
 _LEVEL = "(CASE WHEN value < 25 THEN 0 WHEN value < 60 THEN 1 ELSE 2 END)"

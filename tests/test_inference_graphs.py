@@ -116,3 +116,18 @@ def test_public_surface(spark, normals):
     assert rows.count() == 5
     with pytest.raises(AttributeError):
         _ = api.NoSuchRegressor
+
+
+def test_queries_use_the_whole_embedding_and_all_resamples(spark, monkeypatch):
+    from ridgeline import queries
+    from ridgeline.operators import graphs, selection
+
+    seen = []
+    for cls in (graphs.GraphicalBootstrap, graphs.GraphicalStabilitySelection, selection.StabilitySelection):
+        fit = cls.fit
+        monkeypatch.setattr(cls, "fit", lambda self, *a, fit=fit, **k: seen.append((type(self).__name__, self.resamples)) or fit(self, *a, **k))
+    for name in ("graph_bootstrap", "graph_stability", "stability_probabilities"):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [("GraphicalBootstrap", 200), ("GraphicalStabilitySelection", 100), ("StabilitySelection", 100)]
+    assert graphs.GraphicalStabilitySelection([0.1]).resamples == 100
+    assert queries.QUERIES["glasso_embeddings"](spark, "/root/testdata/sf0.001").count() == 64 * 65 // 2
