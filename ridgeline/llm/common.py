@@ -30,7 +30,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, as the cluster sets it.
 
     Where it is unset, a local master gets a temporary folder that goes with the
-    process; on a cluster the warehouse stands in, never a machine's own folder.
+    process; a cluster must set it, as no machine's own folder would do.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -40,7 +40,7 @@ def shared_root(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
         return root
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

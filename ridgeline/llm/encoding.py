@@ -15,8 +15,10 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks held by one worker before it starts afresh.
-MEMO_CHUNKS = 800_000
+#: Bytes of chunks and ids that one worker holds before it starts afresh, by estimate; those of one slice of texts come on top.
+MEMO_BYTES = 128 << 20
+#: What a chunk costs besides its bytes and ids: its object, its place in the table and its offset.
+CHUNK_COST = 120
 
 #: A word of lower-case Latin-1 letters, and a full stop or comma that ends the chunk.
 WORD = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)")
@@ -47,7 +49,7 @@ class _Memo(dict):
 class ChunkEncoder:
     """Encodes batches of texts; equal to Tokenizer.encode(text, add_special_tokens=False) for each."""
 
-    def __init__(self, path: str, memo: int = MEMO_CHUNKS):
+    def __init__(self, path: str, memo: int = MEMO_BYTES):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -59,7 +61,7 @@ class ChunkEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slot = _Memo(self._learn)
+        self.slot, self.chunk_bytes = _Memo(self._learn), 0
         self.flat, self.ends = array("I"), array("Q", [0])
 
     def _learn(self, chunk: bytes) -> int:
@@ -72,9 +74,14 @@ class ChunkEncoder:
         else:
             self.flat.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
         slot = self.slot[chunk] = len(self.ends) - 1
+        self.chunk_bytes += len(chunk)
         self.ends.append(len(self.flat))
         return slot
 
+    def held(self) -> int:
+        """Bytes of the memo."""
+        return self.chunk_bytes + 4 * len(self.flat) + CHUNK_COST * len(self.slot)
+
     @staticmethod
     def _chunks(text: str | None) -> list[bytes]:
         if not text:
@@ -89,7 +96,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, uint32; offsets, one more than texts). end: an id after each text."""
-        if len(self.slot) > self.memo:
+        if self.held() > self.memo:
             self.forget()
         chunks = [self._chunks(t) for t in texts]
         at = np.array(list(map(self.slot.__getitem__, chain.from_iterable(chunks))), np.int64)

@@ -1,4 +1,4 @@
-"""Near copies by word shingles: MinHash bands propose, the exact Jaccard similarity of the shingle sets decides."""
+"""Near copies by word shingles: SimHash fingerprints in covering tables propose, the exact Jaccard similarity of the shingle sets decides."""
 
 from __future__ import annotations
 
@@ -12,64 +12,60 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import materialize, ship, split_hot_join, text_slices
 from ridgeline.llm.components import connected_components
-from ridgeline.llm.simhash import shingle_hashes
+from ridgeline.llm.simhash import RADIUS, fingerprint_links, majority, shingle_hashes
 
 SHINGLE_WORDS = 5
 #: Texts are near copies from this Jaccard similarity on, as a fraction of whole numbers.
 SIMILARITY = (4, 5)
-#: MinHash values a band and bands: a pair at 0.8 meets in no band once in 190,000, (1 - 0.8^6)^40, and less often above.
-BAND, BANDS = 6, 40
+#: Independent fingerprints of a text's set of words; two texts are compared if any of them differs in at most RADIUS bits.
+FINGERPRINTS = 8
 #: Candidates of more texts or bytes of shingles than a task takes are dealt into blocks, and every two blocks meet in a task.
-TASK_ROWS, TASK_BYTES = 4096, 16 << 20
+TASK_ROWS, TASK_BYTES = 1024, 4 << 20
 #: Shingles of at most this many texts are counted pair by pair, the others by products of matrices.
 FEW = 32
 
 #: Texts hashed at a time, so that a worker's arrays stay small.
 SLICE_BYTES = 1 << 20
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_SALTS = [(np.uint64(a), np.uint64(b | 1)) for a, b in np.random.default_rng(42).integers(0, 2**64, (BAND * BANDS, 2), np.uint64)]
-
 
 def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct hashes (uint64) of all word shingles; of fewer words, the one of all of them; of none, nothing."""
     return np.unique(np.frombuffer(shingle_hashes(text, words), ">u8").astype(np.uint64))
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, BANDS) of uint64. Each key holds its band's number, so keys of two bands don't meet. Empty sets share theirs."""
-    out = np.empty((len(sets), BANDS), np.uint64)
-    some = np.flatnonzero([len(s) for s in sets])
-    hashes = np.concatenate([sets[i] for i in some]) if len(some) else np.empty(0, np.uint64)
-    starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in some])])[:-1].astype(np.int64)
-    for band in range(BANDS):
-        key = np.full(len(sets), band + 1, np.uint64) * _MIX
-        for a, b in _SALTS[band * BAND : (band + 1) * BAND]:
-            least = np.zeros(len(sets), np.uint64)
-            if len(some):
-                least[some] = np.minimum.reduceat((hashes ^ a) * b, starts)
-            key = (key ^ least) * _MIX
-            key ^= key >> np.uint64(29)
-        out[:, band] = key
-    return out
+def _salted(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of hash functions, of values that are hashes already."""
+    h = hashes ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    for multiplier in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):  # the finaliser of MurmurHash3
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(multiplier)
+    return h ^ (h >> np.uint64(33))
+
+
+def word_fingerprints(texts: list[str | None], n: int = FINGERPRINTS) -> np.ndarray:
+    """(texts, n) of uint64: SimHash of each text's set of words, under n hash functions; no word: zeros.
+
+    A changed word spoils five 5-word shingles but one word, so texts with similar shingles have sets of words that differ
+    in far fewer bits than fingerprints of the shingles themselves would.
+    """
+    sets = [shingle_set(t, 1) for t in texts]
+    return np.column_stack([majority([_salted(s, k).astype(">u8").tobytes() for s in sets]) for k in range(n)])
 
 
-def sketches(docs: DataFrame, *, row: str, words: int = SHINGLE_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, node, bands, row): node is a digest of the whole text's shingle set, bands its keys."""
+def sketches(docs: DataFrame, *, row: str, words: int = SHINGLE_WORDS, prints: int = FINGERPRINTS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, node, prints, row): node is a digest of the whole text's shingle set, prints its fingerprints."""
     ship(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in text_slices(batch, "text", SLICE_BYTES):
-                sets = [shingle_set(t, words) for t in texts]
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                keys = pa.array(band_keys(sets).view(np.int64).ravel())
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), keys)
+                node = np.array([xxhash.xxh64_intdigest(shingle_set(t, words).tobytes()) for t in texts], np.uint64).view(np.int64)
+                flat = pa.array(word_fingerprints(texts, prints).view(np.int64).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * prints), flat)
                 part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), bands, part.column(row)], names=["doc_id", "node", "bands", row])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), lists, part.column(row)], names=["doc_id", "node", "prints", row])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(row))
-    return rows.mapInArrow(make, f"doc_id long, node long, bands array<long>, {row} {rows.schema[row].dataType.simpleString()}")
+    return rows.mapInArrow(make, f"doc_id long, node long, prints array<long>, {row} {rows.schema[row].dataType.simpleString()}")
 
 
 def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
@@ -117,24 +113,34 @@ def copy_links(node: np.ndarray, sets: list[np.ndarray], similarity: tuple[int,
     return out
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(node, root): components of the nodes (node, bands) that share a band's key. Each links to the key's smallest, so a key costs its rows."""
-    keys = materialize(nodes.select("node", F.explode("bands").alias("key")), "band_keys")
-    groups = keys.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("_n")).filter("_n > 1")
-    links = split_hot_join(keys, materialize(groups, "band_groups"), ["key"], "_n", keys.count())
-    return connected_components(links.filter("node != low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct())
+def candidates(nodes: DataFrame, *, radius: int = RADIUS) -> DataFrame:
+    """(node, root): components of the nodes (node, prints) with a fingerprint of the same place that chains of at most `radius` bits join.
 
-
-def near_copies(docs: DataFrame, *, row: str, words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    Each fingerprint stands for all nodes that have it, by a link to their smallest, so it costs its rows.
+    """
+    each = materialize(nodes.select("node", F.posexplode("prints").alias("space", "fp")), "near_prints")
+    groups = materialize(each.groupBy("space", "fp").agg(F.min("node").alias("low"), F.count("*").alias("_n")), "near_print_groups")
+    n = groups.count()
+    links = materialize(fingerprint_links(groups.select("space", "fp"), radius=radius), "near_print_links")
+    # Many fingerprints may link to one, which makes it hot on that side of the joins.
+    heads = links.groupBy("space", F.col("v").alias("fp")).agg(F.count("*").alias("_m")).join(groups.select("space", "fp", "low"), ["space", "fp"]).withColumnRenamed("fp", "v")
+    ends = split_hot_join(links, materialize(heads, "near_print_heads"), ["space", "v"], "_m", n).select("space", "u", F.col("low").alias("b"))
+    across = ends.join(groups.select("space", F.col("fp").alias("u"), F.col("low").alias("a")), ["space", "u"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    within = split_hot_join(each, groups.filter("_n > 1"), ["space", "fp"], "_n", each.count()).select(F.col("node").alias("u"), F.col("low").alias("v"))
+    return connected_components(across.union(within).filter("u != v").distinct())
+
+
+def near_copies(docs: DataFrame, *, row: str, words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY, prints: int = FINGERPRINTS, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: (doc_id, root, row). root is the same for rows joined by links of at least `similarity`.
 
-    row: a column that tells rows apart. Equal shingle sets are one node, so copies cost one row. Candidates that share a band's key,
-    through others too, are compared all with all inside tasks, and only exact similarities link; pairs never become rows.
+    row: a column that tells rows apart. Equal shingle sets are one node, so copies cost one row. Covering tables find all nodes with
+    a fingerprint within `radius` bits of another's; these, and through others too, are compared all with all inside tasks, and only
+    exact similarities of `words`-word shingles link; pairs never become rows.
     Null and empty texts have an empty set and are one node; a null doc_id is carried; an empty table gives no row.
     """
-    each = materialize(sketches(docs, row=row, words=words, text=text, doc_id=doc_id), "sketches")
-    nodes = materialize(each.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct(row, "bands")).alias("_one")).select("node", "copies", "_one.*"), "copy_nodes")
-    wanted = materialize(candidates(nodes.select("node", "bands")).join(nodes.select("node", row), "node"), "copy_candidates")
+    each = materialize(sketches(docs, row=row, words=words, prints=prints, text=text, doc_id=doc_id), "sketches")
+    nodes = materialize(each.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct(row, "prints")).alias("_one")).select("node", "copies", "_one.*"), "copy_nodes")
+    wanted = materialize(candidates(nodes.select("node", "prints"), radius=radius).join(nodes.select("node", row), "node"), "copy_candidates")
     read = docs.select(F.col(text).cast("string").alias("text"), F.col(row)).join(wanted, row).select("root", "node", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

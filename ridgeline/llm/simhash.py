@@ -115,7 +115,7 @@ def bucket_links(fp: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return out
 
 
-def _forest(radius: int):
+def _forest(radius: int, tables: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by table and key; groups are small, so only an open group is carried on."""
         held = np.empty((0, 3), np.int64)
@@ -127,13 +127,14 @@ def _forest(radius: int):
             pair = first[size == 2]
             a, b = rows[pair, 2], rows[pair + 1, 2]
             near = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= radius
-            u, v = [np.maximum(a, b)[near]], [np.minimum(a, b)[near]]
-            found = [x for f, s in zip(first[size > 2], size[size > 2], strict=True) for x in bucket_links(rows[f : f + s, 2], radius)]
-            if found:
-                more = np.array(found, np.int64)
-                u.append(more[:, 0])
-                v.append(more[:, 1])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+            own, u, v = [rows[pair, 0][near] // tables], [np.maximum(a, b)[near]], [np.minimum(a, b)[near]]
+            for f, s in zip(first[size > 2], size[size > 2], strict=True):
+                if found := bucket_links(rows[f : f + s, 2], radius):
+                    more = np.array(found, np.int64)
+                    own.append(np.full(len(more), rows[f, 0] // tables))
+                    u.append(more[:, 0])
+                    v.append(more[:, 1])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (own, u, v)], names=["space", "u", "v"])
 
         for batch in batches:
             rows = np.column_stack([batch.column(c).to_numpy() for c in ("tab", "key", "fp")]).astype(np.int64)
@@ -152,31 +153,34 @@ def _forest(radius: int):
 
 
 def fingerprint_links(distinct: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(u, v): links that join exactly the distinct fingerprints (column fp) that chains of at most `radius` differing bits join.
+    """(space, u, v): links that join exactly the distinct fingerprints (space, fp) that chains of at most `radius` differing bits join.
 
-    Each fingerprint goes to one bucket per covering mask. Buckets of two up to `bucket` are
-    compared inside one task and give a forest, not all pairs. Larger ones are split by finer
-    masks, which lose no pair either; after three splits a bucket has too few free bits to be large.
+    Fingerprints of different spaces (numbers from 0) never meet. Each goes to one bucket per covering mask. Buckets of two up to
+    `bucket` are compared inside one task and give a forest, not all pairs. Larger ones are split by finer
+    masks, which lose no pair either; after three splits a bucket has too few free bits to be large. Rows of hot
+    buckets stay where they are until they are split.
     """
     ship(distinct.sparkSession)
     masks = covering_masks(radius)
-    rows, out = distinct.select("fp"), []
-    table = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
-    rows = rows.select("fp", table.alias("_t")).select("_t.tab", "_t.key", "fp")
+    tables, out = len(masks), []
+    table = F.explode(F.array(*[F.struct((F.col("space") * tables + i).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
+    rows = distinct.select("fp", F.col("space").cast("long").alias("space")).select("fp", table.alias("_t")).select("_t.tab", "_t.key", "fp")
+    n = distinct.count() * tables
     for depth in range(4):
         counts = rows.groupBy("tab", "key").agg(F.count("*").alias("_n")).filter("_n > 1")
-        shared = rows.join(counts, ["tab", "key"])
-        shared = materialize(shared, "buckets")
+        shared = materialize(split_hot_join(rows, materialize(counts, "bucket_sizes"), ["tab", "key"], "_n", n), "buckets")
         small = shared.filter(F.col("_n") <= bucket) if depth < 3 else shared
         grouped = small.select("tab", "key", "fp").repartition("tab", "key").sortWithinPartitions("tab", "key", "fp")
-        out.append(grouped.mapInArrow(_forest(radius), "u long, v long"))
+        out.append(grouped.mapInArrow(_forest(radius, tables), "space long, u long, v long"))
         large = shared.filter(F.col("_n") > bucket)
         if depth == 3 or large.isEmpty():
             break
+        n = large.count() * (radius + 1)
         masks = [f for m in masks for f in finer_masks(m, radius)]
+        tables *= radius + 1
         by_id = F.array(*[F.lit(_signed(m)) for m in masks])
         child = F.explode(F.sequence(F.col("tab") * (radius + 1), F.col("tab") * (radius + 1) + radius))
-        rows = large.select("fp", child.alias("tab")).select("tab", F.col("fp").bitwiseAND(F.get(by_id, F.col("tab").cast("int"))).alias("key"), "fp")
+        rows = large.select("fp", child.alias("tab")).select("tab", F.col("fp").bitwiseAND(F.get(by_id, F.pmod("tab", F.lit(tables)).cast("int"))).alias("key"), "fp")
     links = out[0]
     for more in out[1:]:
         links = links.union(more)
@@ -199,7 +203,7 @@ def near_groups(docs: DataFrame, *, words: int = SHINGLE_WORDS, radius: int = RA
     """
     each = materialize(fingerprints(docs, words=words, text=text, doc_id=doc_id, row=row), "fingerprints")
     nodes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "fingerprint_nodes")
-    roots = connected_components(fingerprint_links(nodes, radius=radius, bucket=bucket))
+    roots = connected_components(fingerprint_links(nodes.withColumn("space", F.lit(0)), radius=radius, bucket=bucket))
     placed = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", "copies", F.coalesce("root", "fp").alias("root")), "fingerprint_roots")
     groups = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("copies").alias("component_size"), F.count("*").alias("_nodes"))
     n = each.count()

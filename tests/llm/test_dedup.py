@@ -137,7 +137,7 @@ def test_splitting_buckets_loses_no_link(spark, bucket):
                 v ^= 1 << int(bit)
             values.add(v)
     values = sorted(values)
-    df = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "fp long")
+    df = spark.createDataFrame([(0, v - 2**64 if v >= 2**63 else v) for v in values], "space int, fp long")
     comp = {r["node"] % 2**64: r["root"] % 2**64 for r in connected_components(simhash.fingerprint_links(df, bucket=bucket)).collect()}
     roots = closure(values)
     groups, made = defaultdict(set), defaultdict(set)

@@ -36,6 +36,17 @@ def test_memo_equals_the_library(texts):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == [*plain(enc, t), 7]
 
 
+def test_memo_is_bounded_by_bytes():
+    enc, rng = ChunkEncoder(vocabulary(), memo=1 << 20), np.random.default_rng(0)
+    for k in range(12):  # chunks without a space: sentences of 500 Chinese characters
+        texts = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 500))) for _ in range(100)]
+        before = enc.held()
+        ids, bounds = enc.encode(texts)
+        assert enc.held() <= (1 << 20) + 100 * (1500 + 120 + 4 * 1500)
+        assert ids[: bounds[1]].tolist() == plain(enc, texts[0])
+    assert enc.held() < 12 * 100 * 1500 and before > 0
+
+
 def test_token_files_hold_every_document_in_order(spark, odd, encoder):
     path = shared_path(spark, "t")
     write_tokens(odd, path)
