@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -105,7 +107,11 @@ class ToxicityModel:
         hits, spared = [], []
         for end, (size, weight) in machine.iter(folded):
             (spared if weight is None else hits).append((end - size, end, weight))
-        total = sum(w for a, b, w in hits if not any(s <= a and b <= e for s, e, _ in spared))
+        if spared:  # a phrase holds a hit if, of the phrases that begin no later, the one that ends last ends no sooner
+            spared.sort()
+            starts, ends = [s for s, _, _ in spared], list(accumulate((e for _, e, _ in spared), max))
+            hits = [h for h in hits if not (k := bisect_right(starts, h[0])) or ends[k - 1] < h[1]]
+        total = sum(w for _, _, w in hits)
         return total, total / (folded.count(" ") - 1)
 
     def score(self, text: str | None) -> float:
@@ -140,24 +146,27 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (seen[1], seen[0], docs))], names=["entry", "toxic", "clean", "docs"])
 
 
-def _prefix_free(rows: list, total_toxic: float, total_clean: float, size: int) -> dict[str, float]:
-    """Entries by falling log-likelihood ratio, longer ones first among equals; none begins another, so a word has one hit at most."""
-    scored = []
-    for r in rows:
-        p, q = (r["toxic"] + 0.5) / total_toxic, (r["clean"] + 0.5) / total_clean
-        if p / q < MIN_RATIO or r["docs"] < MIN_DOCUMENTS:
-            continue
-        share = (r["toxic"] + r["clean"]) / (total_toxic + total_clean)
-        gain = r["toxic"] * math.log(max(r["toxic"], 0.5) / total_toxic / share) + r["clean"] * math.log(max(r["clean"], 0.5) / total_clean / share)
-        if gain < MIN_GAIN:
-            continue
-        scored.append((-round(gain, 6), -len(r["entry"]), r["entry"], math.log(p / q)))
+def _ranked(counts: DataFrame, total_toxic: float, total_clean: float) -> DataFrame:
+    """(entry, weight) of all word beginnings that may be entries, by falling log-likelihood ratio, longer ones first among equals."""
+    toxic, clean = F.col("toxic"), F.col("clean")
+    ratio = ((toxic + 0.5) / total_toxic) / ((clean + 0.5) / total_clean)
+    share = (toxic + clean) / (total_toxic + total_clean)
+    gain = toxic * F.log(F.greatest(toxic, F.lit(0.5)) / total_toxic / share) + clean * F.log(F.greatest(clean, F.lit(0.5)) / total_clean / share)
+    rows = counts.filter((F.col("docs") >= MIN_DOCUMENTS) & (ratio >= MIN_RATIO)).select("entry", F.log(ratio).alias("weight"), F.round(gain, 6).alias("gain"))
+    return rows.filter(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), F.desc(F.length("entry")), "entry").select("entry", "weight")
+
+
+def _prefix_free(ranked: Iterable, size: int) -> dict[str, float]:
+    """The first `size` entries of which none begins another, so a word has one hit at most."""
     chosen: dict[str, float] = {}
-    for _, _, entry, weight in sorted(scored):
+    begun: set[str] = set()  # all beginnings of what is chosen
+    for entry, weight in ranked:
         if len(chosen) == size:
             break
-        if not any(entry.startswith(c) or c.startswith(entry) for c in chosen):
+        own = {entry[:k] for k in range(1, len(entry) + 1)}
+        if entry not in begun and not own & chosen.keys():
             chosen[entry] = weight
+            begun |= own
     return chosen
 
 
@@ -198,9 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = SAMPLE_PER_CLA
     counts = materialize(counts, "word_beginnings")
     whole = counts.filter(F.length("entry") == PREFIX.start).agg(F.sum("toxic"), F.sum("clean")).first()
     toxic, clean = (whole[0] or 0) + 1.0, (whole[1] or 0) + 1.0
-    rate = ((F.col("toxic") + 0.5) / toxic) / ((F.col("clean") + 0.5) / clean)
-    near = counts.filter((F.col("docs") >= MIN_DOCUMENTS) & (rate >= MIN_RATIO)).orderBy(F.desc("toxic"), "entry").limit(100 * size).collect()
-    model = ToxicityModel(_prefix_free(near, toxic, clean, size), exceptions=exceptions)
+    # Read in order and only as far as the lexicon needs.
+    model = ToxicityModel(_prefix_free(_ranked(counts, toxic, clean).toLocalIterator(), size), exceptions=exceptions)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
