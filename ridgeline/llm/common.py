@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 #: A key with at least this share of all rows is hot; so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1e-3
 
-#: Rows of a driver-made table that are broadcast at most.
-BROADCAST_ROWS = 100_000
-
 _shipped: set[str] = set()
 
 
@@ -75,10 +72,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lookup(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table made on the driver, broadcast where it has at most BROADCAST_ROWS rows and shuffled beyond."""
-    table = spark.createDataFrame(rows, schema)
-    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+def by_partition(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table with one row per partition or file of another, to be broadcast: some bytes for each task the driver plans anyway."""
+    return F.broadcast(spark.createDataFrame(rows, schema))
 
 
 def with_row_key(docs: DataFrame, name: str) -> DataFrame:

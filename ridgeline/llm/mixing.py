@@ -11,13 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import lookup, materialize, read_table, ship
+from ridgeline.llm.common import by_partition, materialize, read_table, ship, split_hot_join
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_COPIES = 2
-#: One row per source comes to the driver; more sources than this are refused.
-MAX_SOURCES = 1_000_000
 TOLERANCE = 1e-10
 MAX_STEPS = 60
 #: Rates are whole numbers of 1 / UNIT, so running sums are exact and the same in any order of tasks.
@@ -38,59 +36,66 @@ def text_size(text: Column) -> Column:
     return F.when(squeezed == "", F.lit(0)).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MAX_COPIES) -> dict[str | None, float]:
-    """Words each source should give: `share` of all words by weight, at most `most` times its own;
-    the excess is shared again by weight among the others until none is above. Weights repeat along
-    the sources in code point order, null last."""
-    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-8")))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    target, free, rest = {}, list(order), share * sum(sizes.values())
-    while free:
-        level = max(rest, 0.0) / sum(weight[s] for s in free)
-        above = [s for s in free if weight[s] * level > most * sizes[s]]
-        if not above:
-            target |= {s: weight[s] * level for s in free}
+def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MAX_COPIES) -> DataFrame:
+    """sources (source, source_size, ...) with source_no and target.
+
+    target: words a source should give, `share` of all words by weight, at most `most` times its own; the excess is shared again by weight
+    among the others until none is above. Weights repeat along the sources in code point order, null last, which is also their number.
+    The order is a range sort; the level of the others rises by one aggregate a round until no more sources meet their cap.
+    """
+    spark = sources.sparkSession
+    place = [F.col("source").isNull(), F.col("source")]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sources.schema) + ", units long, part int, before long"
+    ordered = materialize(sources.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("units", F.lit(1).cast("long")).mapInArrow(_running, schema), "sources")
+    starts = by_partition(spark, _offsets([(r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect()]), "part int, part_first long")
+    numbered = ordered.join(starts, "part").withColumn("source_no", F.col("part_first") + F.col("before")).drop("units", "part", "before", "part_first")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("source_no", F.lit(len(weights))).cast("int"))
+    numbered = materialize(numbered.withColumn("weight", weight), "numbered_sources")
+    cap = float(most) * F.col("source_size")
+    total, level, capped = None, 0.0, -1
+    while True:
+        above = F.col("weight") * F.lit(level) > cap
+        r = numbered.agg(F.sum("source_size").alias("all"), F.count(F.when(above, 1)).alias("n"), F.sum(F.when(above, cap)).alias("held"), F.sum(F.when(~above, F.col("weight"))).alias("free")).first()
+        total = float(r["all"] or 0) * share
+        if r["n"] == capped or not r["free"]:
             break
-        for s in above:
-            target[s] = float(most * sizes[s])
-            rest -= target[s]
-        free = [s for s in free if s not in target]
-    return target
+        capped, level = r["n"], max(total - (r["held"] or 0.0), 0.0) / r["free"]
+    return numbered.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)) if r["free"] else cap).drop("weight")
+
+
+def _joined(rows: DataFrame, per_source: DataFrame, n_rows: int) -> DataFrame:
+    """rows with the columns of a table that has one row per source_no and the source's rows in `docs`."""
+    return split_hot_join(rows, per_source, ["source_no"], "docs", n_rows).drop("docs")
 
 
-def balance(cells: DataFrame, targets: dict[int, float], *, most: float = MAX_COPIES) -> dict[int, float]:
-    """Multipliers of the entropy-balancing dual, by source number.
+def balance(cells: DataFrame, goals: DataFrame, *, n_rows: int, most: float = MAX_COPIES) -> DataFrame:
+    """goals (source_no, goal, docs) with `multiplier`, the entropy-balancing dual of each source.
 
-    Among all document rates r in [0, most] with sum(size * r) at each source's target, the one closest in
+    Among all document rates r in [0, most] with sum(size * r) at each source's goal, the one closest in
     relative entropy (in words) to the base rates b is r = min(most, b * exp(multiplier)). The convex dual is
-    maximised by Newton steps; gradient and curvature are sums over cells (source_no, size, base, docs), one Spark job a
-    step. A source that no multiplier brings to its target (no words, or all at `most`) keeps its last finite one.
+    maximised by Newton steps, all sources at a time; gradient and curvature are sums over cells (source_no, size, base, cell_docs). A step
+    that leaves the interval known to hold the answer is replaced by its middle. The state, one row per source, is a table of the shared
+    folder. A source that no multiplier brings to its goal (no words, or all at `most`) keeps its last finite one.
     """
-    spark = cells.sparkSession
-    at, low, high = dict.fromkeys(targets, 0.0), dict.fromkeys(targets, -math.inf), dict.fromkeys(targets, math.inf)
+    at, low, high = F.col("multiplier"), F.col("low"), F.col("high")
+    raw, mass = F.col("base") * F.exp("multiplier"), F.col("size") * F.col("cell_docs")
+    state = goals.select("source_no", "goal", "docs", F.lit(0.0).alias("multiplier"), F.lit(-math.inf).alias("low"), F.lit(math.inf).alias("high"), F.lit(True).alias("moved"))
     for _ in range(MAX_STEPS):
-        now = lookup(spark, list(at.items()), "source_no int, multiplier double")
-        raw = F.col("base") * F.exp("multiplier")
-        mass = F.col("size") * F.col("docs")
-        sums = cells.join(now, "source_no").groupBy("source_no").agg(F.sum(mass * F.least(raw, F.lit(float(most)))).alias("reached"), F.sum(F.when(raw < most, mass * raw).otherwise(0.0)).alias("curve")).collect()
-        moved = False
-        for r in sums:
-            s, goal = r["source_no"], targets[r["source_no"]]
-            gap = goal - r["reached"]
-            if abs(gap) <= TOLERANCE * max(goal, 1.0) or r["reached"] == 0:
-                continue
-            moved = True
-            if goal <= 0:
-                at[s] = NO_COPIES
-                continue
-            (low if gap > 0 else high)[s] = at[s]
-            new = at[s] + gap / r["curve"] if r["curve"] > 0 else math.inf
-            if not low[s] < new < high[s]:  # outside what is known to hold the answer: halve that instead
-                new = (low[s] + high[s]) / 2 if math.isfinite(low[s] + high[s]) else at[s] + math.copysign(1.0, gap)
-            at[s] = new
-        if not moved:
+        now = _joined(cells, state.filter("moved").select("source_no", "multiplier", "docs"), n_rows)
+        sums = now.groupBy("source_no").agg(F.sum(mass * F.least(raw, F.lit(float(most)))).alias("reached"), F.sum(F.when(raw < most, mass * raw).otherwise(0.0)).alias("curve"))
+        met = state.join(sums, "source_no", "left").withColumn("gap", F.col("goal") - F.col("reached"))
+        open_ = (F.abs("gap") > TOLERANCE * F.greatest(F.col("goal"), F.lit(1.0))) & (F.col("reached") != 0)
+        met = met.withColumn("moved", F.coalesce(open_, F.lit(False)))
+        met = met.withColumn("low", F.when(F.col("moved") & (F.col("gap") > 0), at).otherwise(low)).withColumn("high", F.when(F.col("moved") & (F.col("gap") <= 0), at).otherwise(high))
+        newton = at + F.col("gap") / F.nullif(F.col("curve"), F.lit(0.0))
+        bounded = (low > -math.inf) & (high < math.inf)
+        middle = F.when(bounded, (low + high) / 2).otherwise(at + F.signum("gap"))
+        new = F.when((low < newton) & (newton < high), newton).otherwise(middle)
+        new = F.when(F.col("goal") <= 0, NO_COPIES).otherwise(new)
+        state = materialize(met.select("source_no", "goal", "docs", F.when(F.col("moved"), new).otherwise(at).alias("multiplier"), "low", "high", (F.col("moved") & (F.col("goal") > 0)).alias("moved")), "multipliers")
+        if state.filter("moved").isEmpty():
             break
-    return at
+    return state.select("source_no", "goal", "docs", "multiplier")
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,42 +116,42 @@ def _offsets(totals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _round(docs: DataFrame, cells: DataFrame, tilts: dict[int, float], goals: dict[int, tuple[float, float]], most: int) -> DataFrame:
+def _round(docs: DataFrame, rates: DataFrame, n_rows: int, most: int) -> DataFrame:
     """docs (source_no, size, base, doc_id, ...) with rate, copies and taken.
 
     Copies are the steps of the running sum of rates, rounded down, along each source's documents by size.
-    goals: the least and the most words a source should give; of OFFSETS starts of the running sum each takes the one
-    that misses this least, then the one nearest to the middle. The order is a range sort by (source, size, hash of
+    rates: source_no, multiplier, docs, and in lo and hi the least and the most words a source should give; of OFFSETS starts of the running
+    sum each takes the one that misses this least, then the one nearest to the middle. The order is a range sort by (source, size, hash of
     doc_id, doc_id), which a hot source doesn't unbalance; running sums are per-partition sums plus offsets.
     """
     spark = docs.sparkSession
-    rates = lookup(spark, [(s, math.exp(t), float(math.floor(lo + 0.2837)), float(math.floor(hi + 0.2837))) for s, t in tilts.items() for lo, hi in [goals[s]]], "source_no int, tilt double, _lo double, _hi double")
+    tilts = rates.select("source_no", F.exp("multiplier").alias("tilt"), "docs")
     units = F.round(F.least(F.lit(float(most)), F.col("base") * F.col("tilt")) * UNIT).cast("long")
-    per_source = cells.join(rates, "source_no").groupBy("source_no").agg(F.sum(units * F.col("docs")).alias("n")).collect()
-    firsts = lookup(spark, _offsets([(r["source_no"], r["n"]) for r in per_source]), "source_no int, source_first long")
     keys = ["source_no", "size", "_hash", "doc_id"]
-    ranged = docs.join(rates, "source_no").withColumn("units", units).withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    ranged = _joined(docs, tilts, n_rows).withColumn("units", units).withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     ordered = ranged.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_hash", "tilt", "base")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema) + ", part int, before long"
     placed = materialize(ordered.mapInArrow(_running, schema), "places")
     parts = placed.groupBy("part").agg(F.sum("units").alias("n")).collect()
-    starts = lookup(spark, _offsets([(r["part"], r["n"]) for r in parts]), "part int, part_first long")
-    start = F.col("part_first") + F.col("before") - F.col("source_first")
-    near = placed.join(starts, "part").join(firsts, "source_no").withColumn("_start", start)
+    starts = by_partition(spark, _offsets([(r["part"], r["n"]) for r in parts]), "part int, part_first long")
+    placed = placed.join(starts, "part").withColumn("_place", F.col("part_first") + F.col("before"))
+    firsts = materialize(placed.groupBy("source_no").agg(F.min("_place").alias("_first"), F.count("*").alias("docs")), "source_places")
+    near = _joined(placed, firsts, n_rows).withColumn("_start", F.col("_place") - F.col("_first"))
 
     def copies(offset: Column) -> Column:
         low = F.col("_start") + offset
         return F.floor((low + F.col("units")) / UNIT) - F.floor(low / UNIT)
 
     tried = [(2 * k + 1) * UNIT // (2 * OFFSETS) for k in range(OFFSETS)]
-    taken = near.groupBy("source_no", "_lo", "_hi").agg(*[F.sum(copies(F.lit(o)) * F.col("size")).alias(f"_t{o}") for o in tried])
+    taken = near.groupBy("source_no").agg(F.count("*").alias("_docs"), *[F.sum(copies(F.lit(o)) * F.col("size")).alias(f"_t{o}") for o in tried])
+    taken = taken.join(rates.select("source_no", F.floor(F.col("lo") + 0.2837).cast("double").alias("_lo"), F.floor(F.col("hi") + 0.2837).cast("double").alias("_hi")), "source_no")
 
     def miss(t: Column) -> Column:
         return F.greatest(F.lit(0.0), F.col("_lo") - t, t - F.col("_hi"))
 
     best = F.array_min(F.array(*[F.struct(miss(F.col(f"_t{o}")).alias("miss"), F.abs(2 * F.col(f"_t{o}") - F.col("_lo") - F.col("_hi")).alias("off"), F.lit(o).alias("offset")) for o in tried]))
-    chosen = lookup(spark, [(r["source_no"], r["offset"]) for r in taken.select("source_no", best["offset"].alias("offset")).collect()], "source_no int, _offset long")
-    made = near.join(chosen, "source_no").withColumn("copies", copies(F.col("_offset")).cast("int"))
+    chosen = materialize(taken.select("source_no", best["offset"].alias("_offset"), F.col("_docs").alias("docs")), "source_offsets")
+    made = _joined(near, chosen, n_rows).withColumn("copies", copies(F.col("_offset")).cast("int"))
     return made.withColumn("rate", F.col("units") / UNIT).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
@@ -156,8 +161,8 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     Sizes are counted once and written to the shared folder. Rates come from `balance` over cells of equal source,
     size and base, and `_round` makes copies of them. Documents with over LARGE_SHARE of their source's words, of which
     there are few, are rounded first; the rest is balanced again to what they leave of the target. So a source's words
-    stay within about LARGE_SHARE of the target where copies can reach it. Equal input gives equal output; rows alike in
-    source, size and doc_id are interchangeable.
+    stay within about LARGE_SHARE of the target where copies can reach it. Sources may be as many as rows: what is known of them is a table,
+    whose hot rows alone are broadcast. Equal input gives equal output; rows alike in source, size and doc_id are interchangeable.
 
     Null text has size 0 and takes no words; a null source is one source, last in order; null doc_ids and repeated
     rows are documents of their own; an empty table gives no row. Other columns are ignored.
@@ -169,31 +174,27 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), text_size(F.col(text).cast("string")).alias("size"), (F.lit(1.0) if base is None else F.col(base).cast("double")).alias("base"), *carried),
         "sizes",
     )
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).collect()
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
-    target = source_targets({r["source"]: r["source_size"] for r in sources}, weights, share, most)
-    plan = [(i, r["source"], r["source_size"], target[r["source"]]) for i, r in enumerate(sources)]
-    goal = {i: t for i, _, _, t in plan}
-    table = lookup(spark, plan, "source_no int, _source string, source_size long, target double")
-    known = sized.join(table, sized["source"].eqNullSafe(table["_source"])).drop("_source")
+    n = sized.count()
+    sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, share, most)
+    sources = materialize(sources, "source_targets")
+    known = materialize(split_hot_join(sized, sources.select("source", "source_no", "source_size", "target", "docs"), ["source"], "docs", n).drop("docs"), "sourced")
     is_large = F.col("size") > F.col("source_size") * LARGE_SHARE
-    cells = materialize(known.groupBy("source_no", "size", "base", is_large.alias("large")).agg(F.count("*").alias("docs")), "cells")
-    tilts = balance(cells, goal, most=most)
+    cells = materialize(known.groupBy("source_no", "size", "base", is_large.alias("large")).agg(F.count("*").alias("cell_docs")), "cells")
     columns = ["doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken", *carried]
     few, many = cells.filter("large"), cells.filter("not large")
-    small_size = {r["source_no"]: r["n"] for r in many.groupBy("source_no").agg(F.sum(F.col("size") * F.col("docs")).alias("n")).collect()}
+    small = many.groupBy("source_no").agg((float(most) * F.sum(F.col("size") * F.col("cell_docs"))).alias("small_most"))
+    goals = sources.join(small, "source_no", "left").select("source_no", "docs", F.col("target").alias("goal"), F.coalesce("small_most", F.lit(0.0)).alias("small_most"))
+    goals = materialize(goals, "goals")
     out = None
     if not few.isEmpty():
-        room = {i: (t - most * small_size.get(i, 0), t) for i, t in goal.items()}
-        out = materialize(_round(known.filter(is_large), few, tilts, room, most).select("source_no", *columns), "large_documents")
-        for r in out.groupBy("source_no").agg(F.sum("taken").alias("n")).collect():
-            i = r["source_no"]
-            goal[i] = min(max(goal[i] - r["n"], 0.0), float(most * small_size.get(i, 0)))
-        tilts = balance(many, goal, most=most)
-    rest = _round(known.filter(~is_large), many, tilts, {i: (t, t) for i, t in goal.items()}, most).select(*columns)
-    return rest if out is None else rest.unionByName(out.select(*columns))
+        tilts = balance(cells, goals, n_rows=n, most=most).join(goals.select("source_no", "small_most"), "source_no")
+        out = materialize(_round(known.filter(is_large), tilts.withColumn("lo", F.col("goal") - F.col("small_most")).withColumn("hi", F.col("goal")), n, most).select("source_no", *columns), "large_documents")
+        held = out.groupBy("source_no").agg(F.sum("taken").alias("held"))
+        rest = F.least(F.greatest(F.col("goal") - F.col("held"), F.lit(0.0)), F.col("small_most"))
+        goals = materialize(goals.join(held, "source_no", "left").withColumn("goal", F.when(F.col("held").isNull(), F.col("goal")).otherwise(rest)), "goals_left")
+    tilts = balance(many, goals, n_rows=n, most=most)
+    made = _round(known.filter(~is_large), tilts.withColumn("lo", F.col("goal")).withColumn("hi", F.col("goal")), n, most).select(*columns)
+    return made if out is None else made.unionByName(out.select(*columns))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

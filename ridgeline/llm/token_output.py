@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import lookup, read_table, shared_path, ship, text_slices
+from ridgeline.llm.common import by_partition, read_table, shared_path, ship, text_slices
 from ridgeline.llm.encoding import encoder, vocabulary
 
 STRIPE_BYTES = 8 << 20
@@ -84,7 +84,7 @@ def file_starts(tokens: DataFrame) -> DataFrame:
     for r in sorted(ends, key=lambda r: r["file_no"]):
         out.append((r["file_no"], first))
         first += r["held"]
-    return lookup(tokens.sparkSession, out, "file_no int, first long")
+    return by_partition(tokens.sparkSession, out, "file_no int, first long")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,9 +56,29 @@ def test_urls(spark):
 
 def test_bad_hosts_are_blocked_and_thin_ones_lean_on_their_domain(spark):
     rows = [(f"bad{i}.spam.example", 1) for i in range(5) for _ in range(20)] + [("new.spam.example", None)] + [(f"h{i}.good.example", 0) for i in range(30) for _ in range(10)] + [("one.good.example", 1)]
+    rows += [(f"x{i}.a.co.uk", 0) for i in range(9)] + [("b.co.uk", 1)]
     rep = {r["host"]: r for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, failed int")).collect()}
-    assert rep["bad0.spam.example"]["bound"] > 0.5 and rep["new.spam.example"]["mean"] > 0.5
-    assert rep["one.good.example"]["bound"] < url_filter.BLOCK_ABOVE and rep["h0.good.example"]["mean"] < 0.1
+    assert rep["bad0.spam.example"]["bound"] > rep["bad0.spam.example"]["bar"] and rep["new.spam.example"]["mean"] > 0.5
+    assert rep["one.good.example"]["bound"] < rep["one.good.example"]["bar"] and rep["h0.good.example"]["mean"] < 0.1
+    assert rep["x1.a.co.uk"]["mean"] < rep["b.co.uk"]["mean"]  # two domains, not two hosts of one
+
+
+def test_rare_bad_hosts_among_many_good_ones_are_blocked(spark):
+    hosts = spark.range(20_000).selectExpr("concat('h', id, '.d', id % 700, '.com') AS host", "id", "explode(sequence(1, 13)) AS k")
+    good = hosts.selectExpr("host", "CAST(pmod(xxhash64(id, k), 1000) < 76 AS INT) AS failed")
+    bad = spark.range(20).selectExpr("concat('bad', id, '.e', id, '.com') AS host", "explode(sequence(1, 40)) AS k").selectExpr("host", "1 AS failed")
+    rep = url_filter.host_reputation(good.union(bad)).withColumn("blocked", F.col("bound") > F.col("bar"))
+    assert rep.filter("host LIKE 'bad%' AND blocked").count() == 20
+    assert rep.filter("host NOT LIKE 'bad%' AND blocked").count() < 20  # of 20,000, by chance
+
+
+def test_the_reputation_decides_where_no_rule_fits(spark):
+    rows = [(i, f"http://www.cheap-pills.org/{i}", "fine text " * 30) for i in range(20)] + [(100 + i, f"http://www.good{i % 5}.org/{i}", "fine text " * 30) for i in range(200)]
+    rows += [(400, "http://www.cheap-pills.org/fr/x", "fine"), (401, "http://www.good1.org/z", None), (402, "http://www.good1.org/" + "y" * 100_000, "#" * 300_000)]
+    rows += [rows[0], rows[0]]
+    got = [(r["page_id"], r["verdict"]) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(got) == len(rows) and sum(i == 0 for i, _ in got) == 3
+    assert all(v == ("block" if i < 20 else "allow") for i, v in got)
 
 
 def test_secret_candidates_have_their_places(spark):
@@ -81,6 +101,38 @@ def test_long_secrets_are_found_whole(spark):
     assert all(r["is_secret"] for r in found if r["doc_id"] < 2)
 
 
+def test_many_candidates_in_one_text_cost_time_in_proportion(spark):
+    import time
+
+    keys = ["k" + hashlib.sha256(str(i).encode()).hexdigest()[:31] + "7" for i in range(20_000)]
+    texts = [" é ".join(keys), " é ".join(keys)]  # the same row twice
+    df = spark.createDataFrame([(1, t, "own") for t in texts], "doc_id long, text string, value string")
+    began = time.perf_counter()
+    got = secret_scan.candidates(df).collect()
+    assert time.perf_counter() - began < 60
+    assert len(got) == 40_000 and sorted(r["start"] for r in got)[::2] == [i * 36 for i in range(20_000)]
+    assert {r["value"] for r in got} == set(keys)
+
+
+def test_lookalikes_planted_in_prose_are_told_from_keys(spark):
+    """Findings that the forest was not trained on, inside texts, by kind; the words are the texts' own."""
+    from .conftest import documents
+
+    held = secret_scan.labelled_findings(spark, 4800).exceptAll(secret_scan.labelled_findings(spark, 3600)).collect()
+    rows = [(i, f"{prose(i, 40)} {r['before']}{r['value']}{r['after']} {prose(i + 5000, 40)}", "en", "s") for i, r in enumerate(held)]
+    docs = documents(spark, rows)
+    words = secret_scan.dictionary(docs, words=500)
+    assert "that" in words and "monthly" in words
+    model = secret_scan.train(secret_scan.labelled_findings(spark, 3600, words), words)
+    found = {(r["doc_id"], r["value_sha256"]): r["is_secret"] for r in secret_scan.scan(docs, model, words).collect()}
+    by = {1.0: [], 0.0: []}
+    for i, r in enumerate(held):
+        by[r["label"]].append(found.get((i, hashlib.sha256(r["value"].encode()).hexdigest()), False))
+    recall, alarms = sum(by[1.0]) / len(by[1.0]), sum(by[0.0]) / len(by[0.0])
+    print(f"recall {recall:.3f}, lookalikes taken for keys {alarms:.3f}")
+    assert recall > 0.9 and alarms < 0.05
+
+
 def test_forest_tells_keys_from_lookalikes(spark, nothing):
     model = secret_scan.train(secret_scan.labelled_findings(spark, 3000))
     rows = [(1, 'x token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" y'), (2, "commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b done"), (3, "password = your_password_here_1"), (4, "plain words only"), (None, 'secret: "Zx9Q1mPb7Lr2Kt8Vw4Yd6"')]
@@ -108,6 +160,34 @@ def test_exceptions_and_length():
     assert model.score(None) == model.score("") == model.score("harmless")
 
 
+def test_hits_and_phrases_equal_brute_force():
+    import random
+    import time
+
+    model = toxicity.ToxicityModel({"trash": 5.0, "idiot": 6.0, toxicity.fold("clown").strip(): 2.0}, exceptions=("trash can", "the trash can of", "idiot proof clown"))
+    r = random.Random(4)
+    for _ in range(300):
+        words = [r.choice(["the", "trash", "can", "of", "idiot", "proof", "clown", "trashy"]) for _ in range(r.randrange(12))]
+        free = [True] * len(words)
+        for phrase in (p.split() for p in model.exceptions):
+            for i in range(len(words) - len(phrase) + 1):
+                if words[i : i + len(phrase)] == phrase:
+                    free[i : i + len(phrase)] = [False] * len(phrase)
+        want = sum(w for word, ok in zip(words, free, strict=True) for e, w in model.entries.items() if ok and toxicity.fold(word).strip().startswith(e))
+        assert model.features(" ".join(words))[0] == want
+    began = time.perf_counter()
+    assert model.features("the trash can of " * 100_000)[0] == 0.0
+    assert time.perf_counter() - began < 10
+
+
+def test_toxicity_takes_repeated_rows_and_clashing_columns(spark):
+    model = toxicity.ToxicityModel({"trash": 5.0}, (-5.0, 0.5, 2.0))
+    rows = [(1, "you trash", 7.0), (1, "you trash", 7.0), (None, None, 7.0), (2, "fine " * 400_000 + "trash", 7.0)]
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string, score double"), model).collect()
+    want = sorted((str(i), model.score(t)) for i, t, _ in rows)
+    assert sorted((str(r["doc_id"]), r["score"]) for r in got) == want and model.score(rows[3][1]) > model.score("fine")
+
+
 def test_toxicity_learns_from_its_fold_only(spark, nothing):
     rows = [(i, prose(i, 80) + (" you vile idiot and scum" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")

@@ -4,8 +4,6 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 import corpus_pipeline
 from ridgeline.llm import mixing, quality
@@ -17,16 +15,40 @@ from .test_tokens import check_packed, plain
 from ridgeline.llm.encoding import ChunkEncoder, vocabulary
 
 
-@given(st.dictionaries(st.one_of(st.none(), st.text(max_size=3)), st.integers(0, 1000), max_size=8))
-@settings(max_examples=100, deadline=None)
-def test_targets(sizes):
-    got = mixing.source_targets(sizes)
-    total = sum(sizes.values())
-    assert all(0 <= got[s] <= 2 * sizes[s] + 1e-9 for s in sizes)
-    assert abs(sum(got.values()) - 1.5 * total) < 1e-6 * max(total, 1)
+def slow_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    free = [(got[s], (5, 2, 1)[i % 3]) for i, s in enumerate(order) if got[s] < 2 * sizes[s] - 1e-9]
-    assert all(abs(a / w - free[0][0] / free[0][1]) < 1e-6 * max(total, 1) for a, w in free)
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(order)}
+    target, rest = {}, 1.5 * sum(sizes.values())
+    while free := [s for s in order if s not in target]:
+        level = rest / sum(weight[s] for s in free)
+        above = [s for s in free if weight[s] * level > 2 * sizes[s]]
+        target |= {s: 2.0 * sizes[s] for s in above} if above else {s: weight[s] * level for s in free}
+        rest -= sum(target[s] for s in above)
+    return target
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    names = [None, "", *r.sample(["a", "b", "É", "\U0001f600", "\uffee", "Z", "ab", "aa", "s1", "s10"], 3 * seed), *(f"host{i}" for i in range(200 * (seed == 3)))]
+    sizes = {s: r.choice([0, r.randrange(10), r.randrange(100), r.randrange(10_000)]) for s in names}
+    rows = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = slow_targets(sizes)
+    assert len(rows) == len(sizes) and all(abs(r["target"] - want[r["source"]]) < 1e-6 * max(1, want[r["source"]]) for r in rows)
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    assert {r["source"]: r["source_no"] for r in rows} == {s: i for i, s in enumerate(order)}
+
+
+def test_a_source_for_every_document(spark):
+    rows = [(i, prose(i, 60 + i % 7), "en", f"host{i}") for i in range(300)] + [(1000 + i, prose(i, 70), "en", "big") for i in range(150)]
+    got = mixing.mix(documents(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r["taken"] == r["copies"] * r["size"] for r in got)
+    for r in got:
+        if r["source"] != "big":
+            assert r["taken"] in (0, r["size"], 2 * r["size"]) and abs(r["taken"] - r["target"]) <= r["size"]
+    assert abs(sum(r["taken"] for r in got if r["source"] == "big") - next(r["target"] for r in got if r["source"] == "big")) <= 80
 
 
 def test_mix_reaches_targets_and_repeats_itself(spark, odd, nothing):
@@ -51,10 +73,12 @@ def test_mix_reaches_targets_and_repeats_itself(spark, odd, nothing):
 
 
 def test_newton_finds_capped_rates(spark):
-    cells = spark.createDataFrame([(0, 10, 0.5, 3), (0, 20, 3.0, 2), (1, 5, 1.0, 4)], "source_no int, size long, base double, docs long")
-    at = mixing.balance(cells, {0: 95.0, 1: 38.0})
+    cells = spark.createDataFrame([(0, 10, 0.5, 3), (0, 20, 3.0, 2), (1, 5, 1.0, 4), (2, 5, 1.0, 4)], "source_no long, size long, base double, cell_docs long")
+    goals = spark.createDataFrame([(0, 95.0, 5), (1, 38.0, 4), (2, 0.0, 4), (3, 0.0, 1)], "source_no long, goal double, docs long")
+    at = {r["source_no"]: r["multiplier"] for r in mixing.balance(cells, goals, n_rows=13).collect()}
     rate = lambda s, b: min(2.0, b * 2.718281828459045 ** at[s])
     assert abs(30 * rate(0, 0.5) + 40 * rate(0, 3.0) - 95) < 1e-6 and abs(20 * rate(1, 1.0) - 38) < 1e-6
+    assert rate(2, 1.0) < 1e-100 and at[3] == 0.0
 
 
 def test_pipeline_equals_a_plain_version(spark, tmp_path):
