@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from ridgeline.operators import penalties as pen
 from ridgeline.operators.graphs import GraphicalLasso, GraphicalMCP, GraphicalSCAD, JointGraphicalLasso, JointGraphicalMCP  # noqa: F401
 from ridgeline.operators.moments import moments
-from ridgeline.operators.paths import PathResult, adaptive_path, fit_path
+from ridgeline.operators.paths import PathResult, adaptive_weights, fit_path
 from ridgeline.operators.scoring import predict
 from ridgeline.operators.selection import CVResult, cross_validate
 
@@ -64,13 +64,10 @@ class Estimator:
             kwargs["lambdas"] = [self.lambda_]
         common = {"family": self.family, **({"groups": self.groups} if self.groups is not None else {}), **({"event": event} if event else {}), **({"offset": offset} if offset else {}), **({"sample_weight": sample_weight} if sample_weight else {})}
         self.array_column_ = features if isinstance(features, str) else None
-        if self.adaptive:
-            path = adaptive_path(df, features, y, self.penalty, **common, **kwargs)
-            if self.cv:  # the pilot's weights are fixed over folds
-                weights = self._pilot(df, features, y, common, kwargs)
-                self.cv_ = cross_validate(df, features, y, self.penalty, fold, weights=weights, **common, **{**kwargs, "lambdas": path.lambdas})
-                path = self.cv_.path
-        elif self.cv:
+        if self.adaptive:  # the pilot's weights are fixed over folds
+            pilot = {k: kwargs.pop(k) for k in ("pilot_index", "eta", "eps", "pilot") if k in kwargs}
+            kwargs["weights"] = adaptive_weights(df, features, y, self.penalty, **pilot, **common, **kwargs)
+        if self.cv:
             self.cv_ = cross_validate(df, features, y, self.penalty, fold, **common, **kwargs)
             path = self.cv_.path
         else:
@@ -79,13 +76,6 @@ class Estimator:
         self.best_index_ = self.cv_.best if self.cv else len(path.lambdas) - 1
         return self
 
-    def _pilot(self, df: DataFrame, features, y, common: dict, kwargs: dict) -> np.ndarray:
-        from ridgeline.operators.paths import group_numbers, pilot_weights
-
-        first = fit_path(df, features, y, pen.GroupLasso() if self.penalty.kind == "group" else pen.Lasso(), **common, **{k: v for k, v in kwargs.items() if k != "lambdas"})
-        number = group_numbers(self.groups, first.terms) if self.penalty.kind == "group" else None
-        return pilot_weights(first.coefs[len(first.lambdas) // 2], groups=number)
-
     def coefficients(self, df: DataFrame) -> DataFrame:
         return self.result_.coefficients(df.sparkSession)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Feature counts up to this are summed by code-generated SQL; more by numpy over Arrow batches.
 NARROW = 24
+#: Numbers in a block of a partial matrix, and tasks that first add a block's parts.
+BLOCK, SLOTS = 1 << 17, 1024
 
 
 @dataclass(frozen=True)
@@ -80,42 +83,63 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(flat, np.float64).reshape(-1, width) if width else np.empty((len(column), 0))
 
 
-def _sum_blocks(spark_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Partial matrices come as rows of bytes; each key's are added in one task per block."""
+def _add_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the parts of each (key, block), whose rows come one after the other; one block is held at a time."""
+    at, total = None, None
 
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(b, np.float64) for b in table.column("part").to_pylist()], axis=0)
-        return pa.table({"key": [key[0].as_py()], "block": pa.array([key[1].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["key", "block", "part"])
 
-    return spark_rows.groupBy("key", "block").applyInArrow(add, "key long, block int, part binary")
+    for batch in batches:
+        for key, block, part in zip(batch.column("key").to_pylist(), batch.column("block").to_pylist(), batch.column("part"), strict=True):
+            own = np.frombuffer(part.as_buffer(), np.float64)
+            if at == (key, block):
+                total += own
+                continue
+            if at is not None:
+                yield row()
+            at, total = (key, block), own.copy()
+    if at is not None:
+        yield row()
+
+
+def _sum_blocks(parts: DataFrame) -> DataFrame:
+    """(key, block, part): sums of partial matrices that come as rows of bytes (key, block, part).
+
+    Two rounds, as a tree: the parts of a block are added in up to SLOTS tasks by the partition they come from, then those sums in one. Tasks
+    read their parts one by one, so none holds more than a block and a batch.
+    """
+    schema = "key long, block int, part binary"
+    slot = F.pmod(F.spark_partition_id(), F.lit(SLOTS))
+    near = parts.withColumn("_slot", slot).repartition("key", "block", "_slot").sortWithinPartitions("key", "block", "_slot").drop("_slot").mapInArrow(_add_sorted, schema)
+    return near.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_add_sorted, schema)
 
 
 def _partials(batches: Iterator[pa.RecordBatch], p: int, k: int, shift: np.ndarray, multiplicity: Callable | None) -> Iterator[pa.RecordBatch]:
-    """One partition's sums per key, in row blocks of at most 2^20 numbers."""
+    """One partition's sums per key, in row blocks of about BLOCK numbers."""
     width = p + k
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         values = np.hstack([matrix(batch.column("_x"), p), matrix(batch.column("_r"), k + 1)])
         keys = batch.column("_key").to_numpy(zero_copy_only=False)
-        ok = np.isfinite(values).all(axis=1)
-        values, keys = values[ok], keys[ok]
         z, w = values[:, :width] - shift, values[:, width]
         one = np.column_stack([np.ones(len(z)), z])
-        plan = ((int(key), np.where(keys == key, w, 0.0), (keys == key).sum()) for key in np.unique(keys)) if multiplicity is None else multiplicity(batch.column("_id").to_numpy(zero_copy_only=False)[ok], w)
+        plan = ((int(key), np.where(keys == key, w, 0.0), (keys == key).sum()) for key in np.unique(keys)) if multiplicity is None else multiplicity(batch.column("_id").to_numpy(zero_copy_only=False), w)
         for key, weight, n in plan:
             at = np.flatnonzero(weight)
             part = one[at].T @ (one[at] * weight[at, None])
             held = sums.setdefault(key, np.zeros((width + 2, width + 1)))
             held[:-1] += part
             held[-1, 0] += n
-    step = max(1, (1 << 20) // (width + 1))
+    step = max(1, BLOCK // (width + 1))
     for key, m in sums.items():
         for b in range(0, width + 2, step):
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([b], pa.int32()), pa.array([m[b : b + step].tobytes()], pa.binary())], names=["key", "block", "part"])
 
 
 def moments(df: DataFrame, features: list[str] | str, responses: list[str | Column] = (), *, weight: str | Column | None = None, by: str | None = None, resamples: tuple[Callable, Column] | None = None, names: tuple[str, ...] | None = None) -> Moments | dict[int, Moments]:
-    """Moments of the rows in which all used columns are there.
+    """Moments of the rows in which all used columns are there and finite: a null, NaN or infinity in any of them, or a null key or
+    resample id, leaves the row out, however many features there are.
 
     by: an integer column; gives a dict of Moments, from the same single pass. resamples: (function of row ids and weights
     giving (key, weights, rows) triples, id column); also a dict. Two passes are made: means, then products about them, which
@@ -129,13 +153,16 @@ def moments(df: DataFrame, features: list[str] | str, responses: list[str | Colu
     if not isinstance(features, str) and p + len(ys) <= NARROW and resamples is None:
         return _narrow(df, list(features), ys, w, by, names)
     rows = df.select(*_wide(features, [*ys, w]), (F.lit(0) if by is None else F.col(by)).cast("long").alias("_key"), *([] if resamples is None else [resamples[1].cast("long").alias("_id")]))
-    rows = rows.filter((F.size("_x") == p) & ~F.exists("_x", lambda v: v.isNull() | F.isnan(v)) & ~F.exists("_r", lambda v: v.isNull() | F.isnan(v)))
+    bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == math.inf)
+    rows = rows.filter((F.size("_x") == p) & ~F.exists("_x", bad) & ~F.exists("_r", bad) & F.col("_key").isNotNull())
+    if resamples is not None:
+        rows = rows.filter(F.col("_id").isNotNull())
     shift = _wide_means(rows, p, len(ys))
     function = None if resamples is None else resamples[0]
     k = len(ys)
     parts = rows.mapInArrow(lambda b: _partials(b, p, k, shift, function), "key long, block int, part binary")
     found: dict[int, dict[int, np.ndarray]] = {}
-    for r in _sum_blocks(parts, ["key"]).collect():
+    for r in _sum_blocks(parts).collect():
         found.setdefault(r["key"], {})[r["block"]] = np.frombuffer(r["part"], np.float64)
     out = {}
     for key, blocks in found.items():
@@ -172,6 +199,8 @@ def _narrow(df: DataFrame, features: list[str], ys: list[Column], w: Column, by:
     cols = [F.col(c).cast("double") for c in features] + ys
     rows = df.select(*[c.alias(f"_c{i}") for i, c in enumerate(cols)], w.alias("_w"), *([] if by is None else [F.col(by).cast("long").alias("_key")]))
     rows = rows.dropna()
+    for c in [*(f"_c{i}" for i in range(width)), "_w"]:
+        rows = rows.filter(F.abs(c) != math.inf)
     shift = np.array([x or 0.0 for x in rows.agg(*[F.avg(f"_c{i}") for i in range(width)]).first()])
     z = [F.col(f"_c{i}") - F.lit(float(shift[i])) for i in range(width)]
     sums = [F.count("*"), F.sum("_w"), *[F.sum(F.col("_w") * a) for a in z], *[F.sum(F.col("_w") * z[i] * z[j]) for i in range(width) for j in range(i + 1)]]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import links
 from ridgeline.operators import cox
-from ridgeline.operators.moments import NARROW, Moments, _partials, _sum_blocks, _wide, feature_names, matrix, moments, narrow_pass
+from ridgeline.operators.moments import NARROW, Moments, _partials, _sum_blocks, _wide, _wide_means, feature_names, matrix, moments, narrow_pass
 from ridgeline.operators.solver import Problem, convex_min_index, lambda_grid, solve
 
 #: Reweighted fits of at most this many numbers run on rows held by the driver; larger ones make a Spark pass per round.
@@ -190,6 +190,9 @@ class LocalRows:
         self.x, self.y, self.weight, self.offset, self.second = x, y, weight, offset, second
         self.centered = self.mean = None
 
+    def close(self) -> None:
+        self.centered = None
+
     def round(self, family: str, beta: np.ndarray, intercept: float, options: dict) -> tuple[Moments, float]:
         if self.centered is None:
             self.mean = self.x.mean(axis=0) if len(self.x) else np.zeros(self.x.shape[1])
@@ -215,6 +218,19 @@ class SparkRows:
     def __init__(self, df: DataFrame, features: list[str] | str, p: int):
         self.df, self.features, self.p = df, features, p
         self.narrow = not isinstance(features, str) and p <= NARROW
+        self._center = None
+
+    def close(self) -> None:
+        self.df.unpersist()
+
+    def center(self) -> np.ndarray:
+        """A point near the rows, about which sums are taken, so that features far from 0 keep their digits."""
+        if self._center is None:
+            if self.narrow:
+                self._center = np.array([x or 0.0 for x in self.df.agg(*[F.avg(c) for c in self.features]).first()])
+            else:
+                self._center = _wide_means(self.df.select(*_wide(self.features, [F.col("_y")])), self.p, 0)
+        return self._center
 
     def round(self, family: str, beta: np.ndarray, intercept: float, options: dict) -> tuple[Moments, float]:
         if family == "cox":
@@ -228,8 +244,8 @@ class SparkRows:
             made = links.binomial(eta, y) if family == "binomial" else links.poisson(eta, y, F.col("_offset")) if family == "poisson" else links.huber(eta, y, options.get("delta", 1.35))
             response = made.response - F.col("_offset") if family == "binomial" else made.response
             rows = self.df.withColumn("_w", made.weight * F.col("_weight")).withColumn("_z", response).withColumn("_l", made.loss * F.col("_weight"))
-            return narrow_pass(rows, list(self.features), [F.col("_z")], F.col("_w"), np.zeros(self.p + 1), F.col("_l"))
-        p = self.p
+            return narrow_pass(rows, list(self.features), [F.col("_z")], F.col("_w"), np.append(self.center(), 0.0), F.col("_l"))
+        p, center = self.p, self.center()
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def reweighted():
@@ -242,13 +258,13 @@ class SparkRows:
                     rows = pa.array(list(extra))
                     yield pa.RecordBatch.from_arrays([batch.column("_x"), rows, pa.array(np.zeros(len(x), np.int64))], names=["_x", "_r", "_key"])
 
-            yield from _partials(reweighted(), p, 2, np.zeros(p + 2), None)
+            yield from _partials(reweighted(), p, 2, np.append(center, [0.0, 0.0]), None)
 
         rows = self.df.select(*_wide(self.features, [F.col("_y"), F.col("_weight"), F.col("_offset")]))
-        blocks = {r["block"]: np.frombuffer(r["part"], np.float64) for r in _sum_blocks(rows.mapInArrow(sums, "key long, block int, part binary"), []).collect()}
+        blocks = {r["block"]: np.frombuffer(r["part"], np.float64) for r in _sum_blocks(rows.mapInArrow(sums, "key long, block int, part binary")).collect()}
         m = np.concatenate([blocks[b] for b in sorted(blocks)]).reshape(p + 4, p + 3)
         keep = np.arange(p + 1)
-        return Moments(m[-1, 0], m[0, 0], np.zeros(p + 1), m[0, 1 : p + 2], m[1:-1, 1:][np.ix_(keep, keep)], p), float(m[0, p + 2])
+        return Moments(m[-1, 0], m[0, 0], np.append(center, 0.0), m[0, 1 : p + 2], m[1:-1, 1:][np.ix_(keep, keep)], p), float(m[0, p + 2])
 
     def _eta(self, beta: np.ndarray, intercept: float):
         if isinstance(self.features, str):
@@ -257,8 +273,11 @@ class SparkRows:
         return links.linear(dict(zip(self.features, beta.tolist(), strict=True)), intercept)
 
 
-def rows_of(df: DataFrame, features: list[str] | str, y: str, *, weight: str | None = None, offset: str | None = None, second: str | None = None) -> tuple[LocalRows | SparkRows, tuple[str, ...]]:
-    """Rows without nulls in any used column. Small tables come to the driver, by a count of their numbers."""
+def rows_of(df: DataFrame, features: list[str] | str, y: str, *, weight: str | None = None, offset: str | None = None, second: str | None = None, driver_cells: int = LOCAL_CELLS) -> tuple[LocalRows | SparkRows, tuple[str, ...]]:
+    """Rows without nulls in any used column. Tables of at most driver_cells numbers, counted first, come to the driver; 0: none does.
+
+    Both kinds take the same sums about a point near the data, so the place changes the time and not the result.
+    """
     names = feature_names(df, features)
     one, none = F.lit(1.0), F.lit(0.0)
     extra = [F.col(y).cast("double").alias("_y"), (F.col(weight).cast("double") if weight else one).alias("_weight"), (F.col(offset).cast("double") if offset else none).alias("_offset"), (F.col(second).cast("double") if second else none).alias("_second")]
@@ -266,8 +285,8 @@ def rows_of(df: DataFrame, features: list[str] | str, y: str, *, weight: str | N
     rows = df.select(*x, *extra).dropna()
     if isinstance(features, str):
         rows = rows.filter((F.size(features) == len(names)) & ~F.exists(features, lambda v: v.isNull()))
-    limit = LOCAL_CELLS // (len(names) + 4)
-    if rows.limit(limit + 1).count() <= limit:
+    limit = driver_cells // (len(names) + 4)
+    if limit and rows.limit(limit + 1).count() <= limit:
         table = rows.toArrow()
         r = [table.column(c).to_numpy() for c in ("_y", "_weight", "_offset", "_second")]
         data = np.array(table.column(features).combine_chunks().flatten(), float).reshape(-1, len(names)) if isinstance(features, str) else np.column_stack([table.column(c).to_numpy() for c in features]) if len(table) else np.empty((0, len(names)))
@@ -309,6 +328,7 @@ def reweighted_path(rows: LocalRows | SparkRows, spec: Spec, family: str, *, lam
         coefs.append(beta)
         intercepts.append(b0)
         info.append({"iters": total, "converged": ok, "loss": loss / max(m.n, 1), "ns": clock.perf_counter_ns() - began})
+    rows.close()
     coefs = np.array(coefs).reshape(len(grid), p)
     low = convex_min_index(gram, coefs * s, spec.penalty, spec.number if spec.penalty.kind == "group" else None) if gram is not None else None
     return PathResult(family, spec.terms, grid, coefs, np.array(intercepts), info, convex_min=low, options=options)
@@ -323,14 +343,14 @@ def _row_scales(rows: LocalRows | SparkRows, spec: Spec, m: Moments) -> np.ndarr
     return scales(moments(rows.df, rows.features, names=spec.terms), True)
 
 
-def multinomial_path(df: DataFrame, features: list[str] | str, y: str, spec: Spec, *, lambdas=None, n_lambdas: int = 100, lambda_min_ratio: float = 1e-3, tol: float = 1e-9, max_iter: int = 10_000, max_outer: int = 200, outer_tol: float = 1e-7) -> PathResult:
+def multinomial_path(df: DataFrame, features: list[str] | str, y: str, spec: Spec, *, driver_cells: int = LOCAL_CELLS, lambdas=None, n_lambdas: int = 100, lambda_min_ratio: float = 1e-3, tol: float = 1e-9, max_iter: int = 10_000, max_outer: int = 200, outer_tol: float = 1e-7) -> PathResult:
     """Symmetric K-class model with penalties on rows. The curvature bound 1/2 makes one Gram matrix serve all rounds; a round only needs X'(Y - P)."""
     classes = sorted(r[0] for r in df.select(y).dropna().distinct().collect())
     if len(classes) < 2:
         raise ValueError("at least two classes")
     k, p = len(classes), len(spec.terms)
     code = F.coalesce(*[F.when(F.col(y) == c, i) for i, c in enumerate(classes)])
-    rows, _ = rows_of(df.withColumn("_code", code), features, "_code")
+    rows, _ = rows_of(df.withColumn("_code", code), features, "_code", driver_cells=driver_cells)
     if isinstance(rows, SparkRows):
         m = moments(rows.df, features, names=spec.terms)
     else:
@@ -354,7 +374,7 @@ def multinomial_path(df: DataFrame, features: list[str] | str, y: str, spec: Spe
                 total += np.concatenate([g.ravel(), e, [loss]])
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["key", "block", "part"])
 
-        made = _sum_blocks(rows.df.select(*_wide(features, [F.col("_y")])).mapInArrow(sums, "key long, block int, part binary"), []).first()["part"]
+        made = _sum_blocks(rows.df.select(*_wide(features, [F.col("_y")])).mapInArrow(sums, "key long, block int, part binary")).first()["part"]
         v = np.frombuffer(made, np.float64) / m.n
         return v[: p * k].reshape(p, k), v[p * k : -1], float(v[-1])
 
@@ -380,6 +400,7 @@ def multinomial_path(df: DataFrame, features: list[str] | str, y: str, spec: Spe
         coefs.append(beta)
         intercepts.append(b0)
         info.append({"iters": total, "converged": ok, "loss": loss, "ns": clock.perf_counter_ns() - began})
+    rows.close()
     return PathResult("multinomial", spec.terms, grid, np.array(coefs), np.array(intercepts), info, tuple(classes))
 
 
@@ -394,7 +415,7 @@ def _class_sums(x: np.ndarray, code: np.ndarray, beta: np.ndarray, b0: np.ndarra
     return x.T @ r / n, r.sum(axis=0) / n, loss / n
 
 
-def fit_path(df: DataFrame, features: list[str] | str, y: str | list[str], penalty, *, family: str = "gaussian", groups=None, weights=None, coord_weights=None, sample_weight: str | None = None, offset: str | None = None, event: str | None = None, fit_intercept: bool = True, standardize: bool = False, **grid) -> PathResult:
+def fit_path(df: DataFrame, features: list[str] | str, y: str | list[str], penalty, *, family: str = "gaussian", groups=None, weights=None, coord_weights=None, sample_weight: str | None = None, offset: str | None = None, event: str | None = None, fit_intercept: bool = True, standardize: bool = False, driver_cells: int = LOCAL_CELLS, **grid) -> PathResult:
     """A path for any family and penalty.
 
     family: gaussian, huber, binomial, poisson, cox (y the time, event the indicator), multinomial, or gaussian with a list
@@ -403,14 +424,14 @@ def fit_path(df: DataFrame, features: list[str] | str, y: str | list[str], penal
     if family in ("multinomial",) or isinstance(y, list):
         spec = Spec(penalty, feature_names(df, features), weights, np.arange(len(feature_names(df, features))), None, fit_intercept, standardize)
         if family == "multinomial":
-            return multinomial_path(df, features, y, spec, **grid)
+            return multinomial_path(df, features, y, spec, driver_cells=driver_cells, **grid)
         return tasks_from_moments(moments(df, features, y, weight=sample_weight), spec, tuple(y), **grid)
     if family == "gaussian":
         m = moments(df, features, [y], weight=sample_weight)
         return path_from_moments(m, Spec(penalty, m.names, weights, groups, coord_weights, fit_intercept, standardize), **grid)
     if family == "cox" and (event is None or sample_weight):
         raise ValueError("cox needs an event column and takes no sample weights")
-    rows, names = rows_of(df, features, y, weight=sample_weight, offset=offset, second=event)
+    rows, names = rows_of(df, features, y, weight=sample_weight, offset=offset, second=event, driver_cells=driver_cells)
     return reweighted_path(rows, Spec(penalty, names, weights, groups, coord_weights, fit_intercept, standardize), family, **grid)
 
 
@@ -420,14 +441,20 @@ def pilot_weights(beta: np.ndarray, eta: float = 1.0, eps: float = 1e-6, groups:
     return 1 / np.maximum(size, eps) ** eta
 
 
-def adaptive_path(df: DataFrame, features: list[str] | str, y: str, penalty, *, pilot_index: str | int = "mid", eta: float = 1.0, eps: float = 1e-6, groups=None, pilot=None, **kwargs) -> PathResult:
-    """Weights from a lasso (or group lasso) pilot path over all rows, then the path itself."""
+def adaptive_weights(df: DataFrame, features: list[str] | str, y: str, penalty, *, pilot_index: str | int = "mid", eta: float = 1.0, eps: float = 1e-6, groups=None, pilot=None, **kwargs) -> np.ndarray:
+    """Weights from a lasso (or group lasso) pilot path over all rows, at its middle, last or a numbered lambda."""
     from ridgeline.operators.penalties import GroupLasso, Lasso
 
     first = fit_path(df, features, y, pilot or (GroupLasso() if penalty.kind == "group" else Lasso()), groups=groups, **{k: v for k, v in kwargs.items() if k != "lambdas"})
     at = {"mid": len(first.lambdas) // 2, "last": len(first.lambdas) - 1}.get(pilot_index, pilot_index)
     number = group_numbers(groups, first.terms) if penalty.kind == "group" else None
-    return fit_path(df, features, y, penalty, groups=groups, weights=pilot_weights(first.coefs[at], eta, eps, number), **kwargs)
+    return pilot_weights(first.coefs[at], eta, eps, number)
+
+
+def adaptive_path(df: DataFrame, features: list[str] | str, y: str, penalty, *, pilot_index: str | int = "mid", eta: float = 1.0, eps: float = 1e-6, groups=None, pilot=None, **kwargs) -> PathResult:
+    """The path with adaptive_weights."""
+    weights = adaptive_weights(df, features, y, penalty, pilot_index=pilot_index, eta=eta, eps=eps, groups=groups, pilot=pilot, **kwargs)
+    return fit_path(df, features, y, penalty, groups=groups, weights=weights, **kwargs)
 
 
 def log_choose(p: int, k: int) -> float:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from ridgeline.operators.penalties import Lasso
+from ridgeline.operators.penalties import MCP, SCAD, ElasticNet, Lasso
 
 MAX_SWEEPS = 10_000
 TOL = 1e-9
@@ -62,14 +62,8 @@ def _scalar_descent(prob: Problem, beta: np.ndarray, lam: float, tol: float, swe
     diag = np.diag(g)
     able = np.flatnonzero(diag > 0)
     grad = c - g @ beta
-    if hasattr(pen, "alpha"):
-        kind, a = "en", pen.alpha
-    elif hasattr(pen, "gamma"):
-        kind, a = "mcp", pen.gamma
-    elif hasattr(pen, "a"):
-        kind, a = "scad", pen.a
-    else:
-        kind, a = "other", 0.0
+    kind, a = {ElasticNet: ("en", "alpha"), MCP: ("mcp", "gamma"), SCAD: ("scad", "a")}.get(type(pen), ("other", ""))
+    a = getattr(pen, a) if a else 0.0  # any other penalty is asked for its own map
     d, weight = diag.tolist(), (lam * np.broadcast_to(w, len(c))).tolist()
     active = [j for j in able.tolist() if beta[j] != 0.0]
     for sweep in range(1, sweeps + 1):

@@ -32,7 +32,7 @@ def _column_sums(rows: DataFrame, p: int, of) -> np.ndarray:
             for b in range(0, len(flat), PIECE):
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([b // PIECE], pa.int32()), pa.array([flat[b : b + PIECE].tobytes()], pa.binary())], names=["key", "block", "part"])
 
-    found = {r["block"]: np.frombuffer(r["part"], np.float64) for r in _sum_blocks(rows.mapInArrow(partial, "key long, block int, part binary"), []).collect()}
+    found = {r["block"]: np.frombuffer(r["part"], np.float64) for r in _sum_blocks(rows.mapInArrow(partial, "key long, block int, part binary")).collect()}
     return np.concatenate([found[b] for b in sorted(found)]).reshape(-1, p) if found else np.zeros((0, p))
 
 

@@ -57,9 +57,16 @@ def read_matrix(spark: SparkSession, paths: str | list[str], n_rows: int | list[
     return plan.mapInArrow(rows, "row long, x array<double>")
 
 
-def from_triples(triples: DataFrame, n_features: int, row: str = "row", col: str = "col", value: str = "value") -> DataFrame:
-    """(row, x) from sparse (row, col, value) entries; equal places are summed, absent ones are 0."""
+def from_triples(triples: DataFrame, n_features: int, row: str = "row", col: str = "col", value: str = "value", rows: DataFrame | int | None = None) -> DataFrame:
+    """(row, x) from sparse (row, col, value) entries; equal places are summed, absent ones are 0.
+
+    rows: the number of rows (numbered from 0) or a table with the column `row`; rows without an entry are zeros then. Without it only
+    rows that have an entry are known.
+    """
     cells = triples.groupBy(row, col).agg(F.sum(value).cast("double").alias("_v"))
     maps = cells.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.col(col).cast("int"), "_v"))).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda j: F.coalesce(F.try_element_at("_m", j), F.lit(0.0)))
+    if rows is not None:
+        every = triples.sparkSession.range(rows).withColumnRenamed("id", row) if isinstance(rows, int) else rows.select(row).distinct()
+        maps = every.join(maps, row, "left").withColumn("_m", F.coalesce("_m", F.create_map().cast("map<int,double>")))
     return maps.select(row, dense.alias("x"))

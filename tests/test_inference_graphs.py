@@ -92,6 +92,9 @@ def test_raw_matrices_and_triples(spark, tmp_path):
         read_matrix(spark, str(tmp_path / "a"), 51, 3)
     t = spark.createDataFrame([(0, 1, 2.0), (0, 1, 3.0), (1, 0, 1.0)], "row long, col int, value double")
     assert [r["x"] for r in from_triples(t, 2).orderBy("row").collect()] == [[0.0, 5.0], [1.0, 0.0]]
+    want = [[0.0, 5.0], [1.0, 0.0], [0.0, 0.0]]
+    assert [r["x"] for r in from_triples(t, 2, rows=3).orderBy("row").collect()] == want
+    assert [r["x"] for r in from_triples(t, 2, rows=spark.range(3).withColumnRenamed("id", "row")).orderBy("row").collect()] == want
 
 
 def test_streamed_moments_equal_batch(spark, normals, tmp_path):
@@ -99,11 +102,18 @@ def test_streamed_moments_equal_batch(spark, normals, tmp_path):
 
     normals.select(*F5, "y").repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(normals.select(*F5, "y").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    running = RunningMoments(F5, ["y"])
+    running = RunningMoments(F5, ["y"], str(tmp_path / "sums"))
     running.start(stream, str(tmp_path / "check")).awaitTermination()
-    assert len(running.batches) == 3
-    assert np.allclose(running.total.centered(), moments(normals, F5, ["y"]).centered())
-    assert abs(running.fit(P.Lasso(), lambdas=[0.01]).coefs[0][0] - 1.0) < 0.1
+    whole = moments(normals, F5, ["y"])
+    assert running.total(spark).n == whole.n and np.allclose(running.total(spark).centered(), whole.centered())
+    again = RunningMoments(F5, ["y"], str(tmp_path / "sums"))  # as after a restart
+    again.update(normals.limit(0), 2)  # the last batch once more, now empty, replaces itself
+    assert again.total(spark).n < whole.n
+    normals.select(*F5, "y").limit(7).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    n = again.total(spark).n
+    again.start(stream, str(tmp_path / "check")).awaitTermination()
+    assert again.total(spark).n == n + 7
+    assert abs(running.fit(spark, P.Lasso(), lambdas=[0.01]).coefs[0][0] - 1.0) < 0.1
 
 
 def test_public_surface(spark, normals):

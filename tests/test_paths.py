@@ -176,3 +176,43 @@ def test_named_estimators_fit(frame, name):
     est.fit(frame, X, y, fold="fold" if est.cv else None)
     assert est.coefficients(frame).count() > 0 and est.predict(frame).count() == 600
     assert est.result_.coefs[-1][0].any()
+
+
+def test_narrow_and_wide_moments_leave_out_the_same_rows(spark):
+    rows = [(float(i), float(i * i % 7), float(i % 5), i % 3) for i in range(30)] + [(float("inf"), 1.0, 1.0, 0), (1.0, float("nan"), 1.0, 1), (1.0, 1.0, None, 2), (2.0, 2.0, 2.0, None), (1.0, 1.0, float("-inf"), 1)]
+    df = spark.createDataFrame(rows, "a double, b double, y double, f int").withColumn("arr", F.array("a", "b"))
+    narrow, wide = moments(df, ["a", "b"], ["y"]), moments(df, "arr", ["y"])
+    assert narrow.n == wide.n == 31 and np.allclose(narrow.centered(), wide.centered())  # the row without a fold counts where no fold is used
+    narrow, wide = moments(df, ["a", "b"], ["y"], by="f"), moments(df, "arr", ["y"], by="f")
+    assert set(narrow) == set(wide) == {0, 1, 2}
+    assert all(narrow[k].n == wide[k].n == 10 and np.allclose(narrow[k].centered(), wide[k].centered()) for k in narrow)
+
+
+@pytest.mark.parametrize("features", [X[:3], "far"])
+def test_rows_far_from_zero_give_the_same_path_in_both_places(spark, frame, features):
+    far = frame.select("b", "k", *[(F.col(c) + 1e6).alias(c) for c in X[:3]]).withColumn("far", F.array(*X[:3]))
+    frame.count()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for family, y, penalty in (("binomial", "b", P.MCP()), ("multinomial", "k", P.GroupLasso())):
+        one, two = (fit_path(far, features, y, penalty, family=family, lambdas=[0.03], max_outer=3, driver_cells=cells) for cells in (20_000_000, 0))
+        assert np.abs(one.coefs).max() > 0.05 and np.allclose(one.coefs, two.coefs, atol=1e-6)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before  # nothing stays behind
+
+
+@pytest.mark.parametrize("name", ["AdaptiveMCPPathCV", "AdaptiveLassoPathCV"])
+def test_adaptive_cross_validation_takes_the_pilot_options(frame, name):
+    est = estimator(name, n_lambdas=5, eta=2.0, eps=1e-4, pilot_index="last").fit(frame, X, "y", fold="fold")
+    assert est.cv_.scores.shape == (5, 5) and np.abs(est.result_.coefs[-1][:3]).min() > 0.3
+
+
+def test_a_penalty_of_ones_own_is_asked_for_its_map():
+    from ridgeline.operators.solver import Problem, solve
+
+    class Ridge:
+        kind, l1, gamma = "scalar", 1.0, 3.0  # an attribute that another penalty has, too
+
+        def prox(self, z, t, lam, w):
+            return z / (1 + t * lam * w)
+
+    beta, _, ok = solve(Problem(np.eye(2), np.array([2.0, 1.0]), Ridge(), np.ones(2)), 1.0, np.zeros(2))
+    assert ok and np.allclose(beta, [1.0, 0.5])
