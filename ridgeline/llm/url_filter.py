@@ -98,8 +98,9 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
         ready = split_hot_join(known.drop("_children"), materialize(strengths, "strengths"), keys, "_children", level.count())
         return materialize(ready.withColumn("mean", (F.col("failed") + F.col("above") * F.col("strength")) / (F.col("pages") + F.col("strength"))), "shrunk")
 
-    root = suffixes.withColumn("root", F.lit(0))
-    by_suffix = shrunk(root, suffixes.limit(1).select(F.lit(0).alias("root"), F.lit(above).alias("above")), ["root"]).select("suffix", F.col("mean").alias("above"))
+    top = suffixes.withColumn("above", F.lit(above))
+    strength = F.lit(top.agg(_strength().alias("strength")).first()["strength"])
+    by_suffix = top.select("suffix", ((F.col("failed") + above * strength) / (F.col("pages") + strength)).alias("above"))
     by_domain = shrunk(domains, by_suffix, ["suffix"]).select("suffix", "domain", F.col("mean").alias("above"))
     by_host = shrunk(hosts, by_domain, ["suffix", "domain"])
     bound = F.col("mean") - SIGMAS * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("pages") + F.col("strength") + 1))
