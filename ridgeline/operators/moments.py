@@ -175,10 +175,11 @@ def moments(df: DataFrame, features: list[str] | str, responses: list[str | Colu
 
 def _wide_means(rows: DataFrame, p: int, k: int) -> np.ndarray:
     """Rough centers, from the first rows: any point near the data serves."""
-    some = rows.select("_x", "_r").limit(1000).collect()
-    if not some:
+    some = rows.select("_x", "_r").limit(1000).toArrow().combine_chunks()
+    if not len(some):
         return np.zeros(p + k)
-    return np.mean([[*r["_x"], *r["_r"][:k]] for r in some], axis=0)
+    x, r = (some.column(c).combine_chunks() for c in ("_x", "_r"))
+    return np.hstack([matrix(x, p), matrix(r, len(r[0]))[:, :k]]).mean(axis=0)
 
 
 def narrow_pass(rows: DataFrame, features: list[str], responses: list[Column], weight: Column, shift: np.ndarray, extra: Column) -> tuple[Moments, float]:

@@ -11,6 +11,8 @@ from ridgeline.operators.penalties import MCP, SCAD, ElasticNet, Lasso
 
 MAX_SWEEPS = 10_000
 TOL = 1e-9
+#: Rounds of a leap from pieces to pieces, where the penalty is convex and the way can't matter; steps of its solver; sweeps before the next.
+LEAPS, CONJUGATE_STEPS, SWEEPS_BETWEEN = 4, 100, 2
 
 
 @dataclass
@@ -57,41 +59,126 @@ def lambda_grid(top: float, n: int = 100, ratio: float = 1e-3) -> np.ndarray:
     return np.array([top]) if n == 1 else top * ratio ** (np.arange(n) / (n - 1))
 
 
+def _cells(kind: str, a: float, u: np.ndarray, d: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The piece of the penalty each coordinate is on at u = d * beta + gradient: (signed number of the piece, what it adds to the
+    diagonal, what it takes from the cross products). On a fixed piece of every coordinate the minimum solves a linear system."""
+    s, size = np.sign(u), np.abs(u)
+    if kind == "en":
+        return s * (size > a * level), (1 - a) * level, s * a * level
+    if kind == "mcp":
+        inner = size <= a * level
+        return s * np.where(size <= level, 0, np.where(inner, 1, 2)), np.where(inner, -d / a, 0.0), np.where(inner, s * level, 0.0)
+    low, middle = size <= 2 * level, size <= a * level
+    number = np.where(size <= level, 0, np.where(low, 1, np.where(middle, 2, 3)))
+    bend = np.where(low | ~middle, 0.0, -d / (a - 1))
+    return s * number, bend, np.where(low, s * level, np.where(middle, s * a * level / (a - 1), 0.0))
+
+
+def _conjugate(g: np.ndarray, rhs: np.ndarray, start: np.ndarray, bend: np.ndarray, root: np.ndarray, tol: float) -> np.ndarray | None:
+    """Solves (g + diag(bend)) x = rhs by conjugate gradients from `start`; None where curvature isn't positive or steps run out."""
+    scale = 1 / np.maximum(root * root + bend, 1e-300)  # Jacobi preconditioner
+    x = start.copy()
+    r = rhs - g @ x - bend * x
+    z = scale * r
+    way, size = z.copy(), r @ z
+    for _ in range(CONJUGATE_STEPS):
+        if (np.abs(r) / root).max(initial=0.0) < tol:
+            return x
+        image = g @ way + bend * way
+        curve = way @ image
+        if curve <= 0:
+            return None
+        step = size / curve
+        x += step * way
+        r -= step * image
+        z = scale * r
+        size, before = r @ z, size
+        way = z + (size / before) * way
+    return None
+
+
+def _leap(kind: str, a: float, prob: Problem, root: np.ndarray, level: np.ndarray, beta: np.ndarray, grad: np.ndarray, among: np.ndarray, tol: float, rounds: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(coefficients, gradient) at the minimum on the present pieces of the coordinates `among`, or None unless it is found and
+    lies on the same pieces, so that no coordinate's own step moves it. More rounds go on from the pieces where it lies."""
+    g, c, d = prob.gram, prob.cross, root * root
+    pieces, bend, shift = _cells(kind, a, d * beta + grad, d, level)
+    for _ in range(rounds):
+        on = np.flatnonzero((pieces != 0) & among)
+        new = np.zeros_like(beta)
+        if len(on):
+            found = _conjugate(g[np.ix_(on, on)], c[on] - shift[on], beta[on], bend[on], root[on], tol)
+            if found is None:
+                return None
+            new[on] = found
+        grad, old = c - g @ new, pieces
+        pieces, bend, shift = _cells(kind, a, d * new + grad, d, level)
+        if np.array_equal(pieces[among], old[among]):
+            return new, grad
+        beta = new
+    return None
+
+
 def _scalar_descent(prob: Problem, beta: np.ndarray, lam: float, tol: float, sweeps: int) -> tuple[np.ndarray, int, bool]:
-    g, c, pen, w = prob.gram, prob.cross, prob.penalty, prob.weights
-    diag = np.diag(g)
-    able = np.flatnonzero(diag > 0)
-    grad = c - g @ beta
+    """Cyclic descent over a working set: the coordinates in use and those that a step from the present point would move.
+
+    All coordinates are checked at once whenever the set has settled, so none is screened away. Between sweeps the set's
+    minimum on the present pieces of the penalty is solved for, and taken where it lies on them.
+    """
+    g, c, pen = prob.gram, prob.cross, prob.penalty
+    diag, weight = np.diag(g), np.broadcast_to(prob.weights, len(c))
+    able = diag > 0
+    safe = np.where(able, diag, 1.0)
+    root, level = np.sqrt(safe), lam * weight
     kind, a = {ElasticNet: ("en", "alpha"), MCP: ("mcp", "gamma"), SCAD: ("scad", "a")}.get(type(pen), ("other", ""))
     a = getattr(pen, a) if a else 0.0  # any other penalty is asked for its own map
-    d, weight = diag.tolist(), (lam * np.broadcast_to(w, len(c))).tolist()
-    active = [j for j in able.tolist() if beta[j] != 0.0]
+    beta[~able] = 0.0
+    done, leaps, grad = 0, kind != "other", c - g @ beta
+    inside, leapt, settled = np.zeros(len(c), bool), False, False
+    while True:
+        moved = np.abs(pen.prox(beta + grad / safe, 1 / safe, lam, weight) - beta) * root
+        moved[~able | (inside & settled)] = 0.0  # sweeps that settled can't do better on their own set
+        if moved.max(initial=0.0) < tol:
+            return beta, max(done, 1), True
+        if done >= sweeps:
+            return beta, done, False
+        leaps = leaps and not (leapt and not (moved >= tol)[~inside].any())  # a leap that is short of tol isn't repeated
+        inside = among = (beta != 0.0) | (moved >= tol)
+        found = _leap(kind, a, prob, root, level, beta, grad, among, tol / 10, LEAPS if kind == "en" else 1) if leaps else None
+        leapt = found is not None
+        if leapt:
+            beta, grad = found
+            done, settled = done + 1, False
+            continue
+        at = np.flatnonzero(among)
+        beta[at], made, settled = _sweeps(kind, a, pen, g[np.ix_(at, at)], grad[at], lam, weight[at], beta[at], tol, min(sweeps - done, SWEEPS_BETWEEN) if leaps else sweeps - done)
+        grad = c - g @ beta
+        done += made
+
+
+def _sweeps(kind: str, a: float, pen, g: np.ndarray, grad: np.ndarray, lam: float, weight: np.ndarray, beta: np.ndarray, tol: float, sweeps: int) -> tuple[np.ndarray, int, bool]:
+    """(coefficients, sweeps made, whether none moved by tol in the last) of a small problem."""
+    d, level, values = np.diag(g).tolist(), (lam * weight).tolist(), beta.tolist()
     for sweep in range(1, sweeps + 1):
-        full = sweep == 1 or not active or settled
-        settled, largest = False, 0.0
-        for j in able.tolist() if full else active:
-            old, v, level = beta[j], d[j], weight[j]
-            u = grad[j] + v * old
+        largest = 0.0
+        for j, old in enumerate(values):
+            v, lev = d[j], level[j]
+            u = grad.item(j) + v * old
             s = abs(u)
             if kind == "en":
-                new = 0.0 if s <= a * level else math.copysign(s - a * level, u) / (v + (1 - a) * level)
+                new = 0.0 if s <= a * lev else math.copysign(s - a * lev, u) / (v + (1 - a) * lev)
             elif kind == "mcp":
-                new = 0.0 if s <= level else math.copysign(s - level, u) / (v * (1 - 1 / a)) if s <= a * level else u / v
+                new = 0.0 if s <= lev else math.copysign(s - lev, u) / (v * (1 - 1 / a)) if s <= a * lev else u / v
             elif kind == "scad":
-                new = 0.0 if s <= level else math.copysign(s - level, u) / v if s <= 2 * level else math.copysign(s - a * level / (a - 1), u) / (v * (1 - 1 / (a - 1))) if s <= a * level else u / v
+                new = 0.0 if s <= lev else math.copysign(s - lev, u) / v if s <= 2 * lev else math.copysign(s - a * lev / (a - 1), u) / (v * (1 - 1 / (a - 1))) if s <= a * lev else u / v
             else:
-                new = float(pen.prox(np.float64(u / v), 1 / v, lam, w[j]))
+                new = float(pen.prox(np.float64(u / v), 1 / v, lam, weight[j]))
             if new != old:
                 grad -= g[j] * (new - old)
-                beta[j] = new
+                values[j] = new
                 largest = max(largest, abs(new - old) * math.sqrt(v))
         if largest < tol:
-            if full:
-                return beta, sweep, True
-            settled = True
-        if full:
-            active = np.flatnonzero(beta).tolist()
-    return beta, sweeps, False
+            return np.array(values), sweep, True
+    return np.array(values), sweeps, False
 
 
 def _block_descent(prob: Problem, beta: np.ndarray, lam: float, tol: float, sweeps: int) -> tuple[np.ndarray, int, bool]:
@@ -99,6 +186,7 @@ def _block_descent(prob: Problem, beta: np.ndarray, lam: float, tol: float, swee
     grad = prob.cross - g @ beta
     settled, active = False, []
     every = [k for k, s in enumerate(prob.step) if s > 0]
+    rows = [g[m] for m in prob.members]
     for sweep in range(1, sweeps + 1):
         full = sweep == 1 or settled or not active
         settled, largest = False, 0.0
@@ -109,7 +197,7 @@ def _block_descent(prob: Problem, beta: np.ndarray, lam: float, tol: float, swee
             moved = new - old
             size = np.abs(moved).max()
             if size > 0:
-                grad -= g[:, m] @ moved
+                grad -= moved @ rows[k]
                 beta[m] = new
                 largest = max(largest, size * math.sqrt(lip))
         if largest < tol:
@@ -153,7 +241,7 @@ def _task_descent(prob: Problem, beta: np.ndarray, lam: float, tol: float, sweep
 
 
 def solve(prob: Problem, lam: float, start: np.ndarray, *, tol: float = TOL, sweeps: int = MAX_SWEEPS) -> tuple[np.ndarray, int, bool]:
-    """Minimiser from `start` at one lambda, sweeps made, whether changes fell below tol. Cyclic order; no screening."""
+    """Minimiser from `start` at one lambda, sweeps made, whether changes fell below tol. Cyclic order."""
     beta = start.copy()
     scale = tol * max(1.0, math.sqrt(abs(prob.gram).max()) * 1e-3) if prob.gram.size else tol
     if prob.cross.ndim == 2:

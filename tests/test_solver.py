@@ -92,3 +92,48 @@ def test_orthonormalize():
     assert np.allclose(turned[:2, :2], np.eye(2)) and np.allclose(turned[4:, 4:], np.eye(2))
     with pytest.raises(ValueError):
         orthonormalize(np.ones((2, 2)), np.array([0, 0]))
+
+
+def plain_descent(prob, lam, beta, sweeps):
+    """Coordinate descent by the penalty's own map, one coordinate after the other."""
+    for _ in range(sweeps):
+        for j in range(len(beta)):
+            v = prob.gram[j, j]
+            if v > 0:
+                z = beta[j] + (prob.cross[j] - prob.gram[j] @ beta) / v
+                beta[j] = float(prob.penalty.prox(np.float64(z), 1 / v, lam, prob.weights[j]))
+    return beta
+
+
+@pytest.mark.parametrize("penalty", [P.Lasso(), P.ElasticNet(0.3), P.MCP(3.0), P.SCAD(3.7)])
+@pytest.mark.parametrize("kind", ["tall", "wide", "collinear"])
+def test_descent_with_leaps_ends_where_plain_descent_does(penalty, kind):
+    rng = np.random.default_rng(len(kind))
+    n, p = (30, 60) if kind == "wide" else (200, 25)
+    x = rng.standard_normal((n, p)) * np.exp(rng.uniform(-2, 2, p))
+    x[:, 3] = 0.0
+    if kind == "collinear":
+        x[:, 5] = x[:, 4] + 1e-3 * rng.standard_normal(n)
+        x[:, 7] = x[:, 6]
+    y = x[:, :5] @ rng.standard_normal(5) + rng.standard_normal(n)
+    weights = np.ones(p)
+    weights[1] = 0.0  # without penalty
+    prob = Problem(x.T @ x / n, x.T @ y / n, penalty, weights)
+    beta = np.zeros(p)
+    for lam in prob.lambda_max() * np.array([0.8, 0.3, 0.1, 0.03]):
+        beta, _, ok = solve(prob, lam, beta, tol=1e-11)
+        assert ok and kkt_residual(prob, beta, lam) < 1e-6
+        if type(penalty) is P.ElasticNet:
+            other = plain_descent(prob, lam, np.zeros(p), 3000)
+            goal = lambda b: b @ prob.gram @ b / 2 - prob.cross @ b + penalty.value(b, lam, weights)
+            assert goal(beta) <= goal(other) + 1e-9
+        else:
+            assert np.allclose(plain_descent(prob, lam, beta.copy(), 50), beta, atol=1e-6)
+
+
+def test_tolerance_below_rounding_still_ends():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((100, 8)) * 1e4
+    prob = Problem(x.T @ x / 100, x.T @ (x[:, 0] * 1e3 + rng.standard_normal(100)) / 100, P.Lasso(), np.ones(8))
+    _, sweeps, ok = solve(prob, prob.lambda_max() / 50, np.zeros(8), tol=1e-16)
+    assert ok and sweeps < 1000
