@@ -30,7 +30,7 @@ from ridgeline.operators.ordinal import mixed_correlation as polychoric_covarian
 from ridgeline.operators.ordinal import polychoric_correlation, polyserial_correlation
 from ridgeline.operators.paths import PathResult, adaptive_path, fit_path
 from ridgeline.operators.scoring import predict, predict_all
-from ridgeline.operators.selection import StabilitySelection, cross_validate, select_by_ic, select_by_mfdr, stratified_folds
+from ridgeline.operators.selection import MFDR, StabilitySelection, cross_validate, select_by_ic, select_by_mfdr, stratified_folds
 from ridgeline.operators.selection import mfdr as estimate_mfdr
 from ridgeline.operators.solver import orthonormalize as orthonormalize_groups
 from ridgeline.operators.wide import wide_path
@@ -64,7 +64,7 @@ DebiasedCoxLassoRegressor = partial(DebiasedRegressor, "cox")
 
 __all__ = [
     "DebiasedCoxLassoRegressor", "DebiasedLassoRegressor", "DebiasedLogisticLassoRegressor", "DebiasedPoissonLassoRegressor", "DebiasedRegressor", "GraphicalBootstrap", "GraphicalLasso", "GraphicalMCP",
-    "GraphicalSCAD", "GraphicalStabilitySelection", "JointGraphicalLasso", "JointGraphicalMCP", "Moments", "PathResult", "RunningMoments", "StabilitySelection", "adaptive_path", "cross_validate",
+    "GraphicalSCAD", "GraphicalStabilitySelection", "JointGraphicalLasso", "JointGraphicalMCP", "MFDR", "Moments", "PathResult", "RunningMoments", "StabilitySelection", "adaptive_path", "cross_validate",
     "debiased_cox_lasso", "debiased_glm", "debiased_lasso", "debiased_logistic_lasso", "debiased_poisson_lasso", "ebic_path", "edge_fdr_threshold", "edge_fwer_threshold", "edge_pvalues", "estimate_mfdr",
     "estimator", "fit_path", "fit_with_orthonormalization", "from_triples", "joint_ebic_path", "mb_stability_threshold", "moments", "names", "orthonormalize_groups", "polychoric_correlation",
     "polychoric_covariance_matrix", "polyserial_correlation", "predict", "predict_all", "read_matrix", "read_table", "select_by_ic", "select_by_mfdr", "stratified_folds", "wide_path",

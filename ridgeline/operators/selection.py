@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import normal
 from ridgeline.operators import cox, scoring
 from ridgeline.operators.moments import Moments, moments
-from ridgeline.operators.paths import PathResult, Spec, fit_path, log_choose, path_from_moments, tasks_from_moments
+from ridgeline.operators.paths import PathResult, Spec, fit_path, group_numbers, log_choose, path_from_moments, tasks_from_moments
 
 
 def fold_column(keys: list[str], k: int = 5, seed: int = 0) -> Column:
@@ -161,6 +162,29 @@ def select_by_mfdr(path: PathResult, n: float, m: Moments | None = None, target:
     return int(ok[-1]) if len(ok) else None
 
 
+class MFDR:
+    """The curve of marginal false discovery rates of a fitted path on its rows, and the densest lambda within a target."""
+
+    def __init__(self, path: PathResult):
+        self.path = path
+
+    def fit(self, df: DataFrame, features: list[str] | str, y: str, event: str | None = None) -> MFDR:
+        m = moments(df, features, [y, *([event] if event else [])])
+        self.mfdr_, self.lambdas_ = mfdr(self.path, m.n, m), self.path.lambdas
+        return self
+
+    def select(self, target: float = 0.1) -> tuple[int, float]:
+        """(lambda_idx, rate) of the last lambda with a rate of at most target; an error where none has."""
+        ok = np.flatnonzero(self.mfdr_ <= target)
+        if not len(ok):
+            raise ValueError(f"no lambda has a rate of {target} or less; give a longer grid")
+        return int(ok[-1]), float(self.mfdr_[ok[-1]])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [(i, float(lam), float(r)) for i, (lam, r) in enumerate(zip(self.lambdas_, self.mfdr_, strict=True))]
+        return spark.createDataFrame(rows, "lambda_idx int, lambda double, mfdr double")
+
+
 # --- resampling --------------------------------------------------------------------------------------------------------
 
 
@@ -207,9 +231,27 @@ def fan_out(spark: SparkSession, tasks: list[tuple[int, bytes]], function, schem
     return frame.mapInArrow(run, schema)
 
 
+def half_sample(row_id: str, number: int, seed: int = 0, share: float = 0.5) -> Column:
+    """Membership of a row in one subsample, by a seeded hash of its id; a null id is in none."""
+    return F.col(row_id).isNotNull() & (F.pmod(F.xxhash64(F.lit(seed), F.lit(number), F.col(row_id)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def on_path(coefs: np.ndarray, groups: np.ndarray | None = None, eps: float = 1e-8) -> np.ndarray:
+    """(lambdas, features): whether a feature, any of its classes or any feature of its group has a coefficient."""
+    on = np.abs(coefs) > eps
+    on = on.any(axis=2) if on.ndim == 3 else on
+    if groups is None:
+        return on
+    return np.stack([on[:, groups == g].any(axis=1) for g in range(int(groups.max()) + 1)], axis=1)[:, groups]
+
+
 @dataclass
 class StabilitySelection:
-    """Share of half-samples in which each feature is on the path, at every lambda of a shared grid."""
+    """Share of half-samples in which each feature is on the path, at every lambda of a shared grid.
+
+    Least squares takes the moments of all samples in one pass over the rows. The other families (and several responses)
+    refit each sample by rounds of their own, `at_once` of them at a time, on the used columns, which are kept.
+    """
 
     penalty: object
     resamples: int = 100
@@ -218,28 +260,63 @@ class StabilitySelection:
     n_lambdas: int = 20
     lambda_min_ratio: float = 0.05
     options: dict = field(default_factory=dict)
+    family: str = "gaussian"
+    share: float = 0.5
+    at_once: int = 4
+
+    def __post_init__(self):
+        if not 0.5 < self.threshold <= 1 or not 0 < self.share < 1 or self.resamples < 1:
+            raise ValueError("threshold must be in (0.5, 1], share in (0, 1), resamples 1 or more")
+
+    def fit(self, df: DataFrame, features: list[str] | str, y: str | list[str], row_id: str, *, event: str | None = None, offset: str | None = None) -> StabilitySelection:
+        if self.family == "gaussian" and not isinstance(y, list):
+            counts = self._by_moments(df, features, y, row_id)
+        else:
+            counts = self._by_refits(df, features, y, row_id, event, offset)
+        self.probabilities_ = counts / self.resamples
+        self.stable_ = self.probabilities_.max(axis=0) >= self.threshold
+        return self
+
+    def _groups(self) -> np.ndarray | None:
+        groups = self.options.get("groups")
+        return None if groups is None else group_numbers(groups, self.terms_)
 
-    def fit(self, df: DataFrame, features: list[str] | str, y: str, row_id: str) -> StabilitySelection:
-        spark = df.sparkSession
+    def _by_moments(self, df: DataFrame, features: list[str] | str, y: str, row_id: str) -> np.ndarray:
         whole = moments(df, features, [y])
         spec = Spec(self.penalty, whole.names, **self.options)
         grid = path_from_moments(whole, spec, n_lambdas=self.n_lambdas, lambda_min_ratio=self.lambda_min_ratio).lambdas
-        parts = moments(df, features, [y], resamples=(half_samples(self.resamples, self.seed), F.col(row_id)), names=whole.names)
+        self.lambdas_, self.terms_ = grid, whole.names
+        parts = moments(df, features, [y], resamples=(half_samples(self.resamples, self.seed, self.share), F.col(row_id)), names=whole.names)
+        groups = self._groups()
         import pickle
 
         def solve_one(number: int, data: bytes) -> pa.Table:
-            path = path_from_moments(pickle.loads(data), spec, lambdas=grid)
-            i, j = np.nonzero(np.abs(path.coefs) > 1e-8)
+            i, j = np.nonzero(on_path(path_from_moments(pickle.loads(data), spec, lambdas=grid).coefs, groups))
             return pa.table({"sample": pa.array(np.full(len(i), number), pa.int32()), "lambda_idx": pa.array(i, pa.int32()), "feature": pa.array(j, pa.int32())})
 
-        hits = fan_out(spark, [(b, pickle.dumps(m)) for b, m in parts.items()], solve_one, "sample int, lambda_idx int, feature int")
-        counts = hits.groupBy("lambda_idx", "feature").agg(F.countDistinct("sample").alias("n")).collect()
-        self.probabilities_ = np.zeros((len(grid), whole.p))
-        for r in counts:
-            self.probabilities_[r["lambda_idx"], r["feature"]] = r["n"] / self.resamples
-        self.lambdas_, self.terms_ = grid, whole.names
-        self.stable_ = self.probabilities_.max(axis=0) >= self.threshold
-        return self
+        hits = fan_out(df.sparkSession, [(b, pickle.dumps(m)) for b, m in parts.items()], solve_one, "sample int, lambda_idx int, feature int")
+        out = np.zeros((len(grid), whole.p))
+        for r in hits.groupBy("lambda_idx", "feature").agg(F.countDistinct("sample").alias("n")).collect():
+            out[r["lambda_idx"], r["feature"]] = r["n"]
+        return out
+
+    def _by_refits(self, df: DataFrame, features: list[str] | str, y: str | list[str], row_id: str, event: str | None, offset: str | None) -> np.ndarray:
+        used = dict.fromkeys([*([features] if isinstance(features, str) else features), *(y if isinstance(y, list) else [y]), row_id, *(c for c in (event, offset) if c)])
+        rows = df.select(*used).persist()
+        columns = {"family": self.family, **({"event": event} if event else {}), **({"offset": offset} if offset else {})}
+        try:
+            whole = fit_path(rows, features, y, self.penalty, n_lambdas=self.n_lambdas, lambda_min_ratio=self.lambda_min_ratio, **columns, **self.options)
+            self.lambdas_, self.terms_ = whole.lambdas, whole.terms
+            groups = self._groups()
+
+            def mask(number: int) -> np.ndarray:
+                part = rows.filter(half_sample(row_id, number, self.seed, self.share))
+                return on_path(fit_path(part, features, y, self.penalty, lambdas=whole.lambdas, **columns, **self.options).coefs, groups)
+
+            with ThreadPoolExecutor(self.at_once) as pool:
+                return sum(pool.map(mask, range(self.resamples)), np.zeros((len(whole.lambdas), len(whole.terms))))
+        finally:
+            rows.unpersist()
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(t, float(q), bool(s)) for t, q, s in zip(self.terms_, self.probabilities_.max(axis=0), self.stable_, strict=True)]

@@ -1,6 +1,7 @@
 """Paths over DataFrames: Spark and local rows agree, planted truth is found, all sources give the same moments."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from ridgeline.operators.estimators import estimator, fit_with_orthonormalizatio
 from ridgeline.operators.moments import moments
 from ridgeline.operators.paths import SparkRows, Spec, adaptive_path, fit_path, reweighted_path, rows_of
 from ridgeline.operators.scoring import predict
-from ridgeline.operators.selection import StabilitySelection, cross_validate, mfdr, select_by_ic, stratified_folds
+from ridgeline.operators.selection import MFDR, StabilitySelection, cross_validate, mfdr, on_path, select_by_ic, stratified_folds
 
 X = [f"x{i}" for i in range(6)]
 
@@ -216,3 +217,39 @@ def test_a_penalty_of_ones_own_is_asked_for_its_map():
 
     beta, _, ok = solve(Problem(np.eye(2), np.array([2.0, 1.0]), Ridge(), np.ones(2)), 1.0, np.zeros(2))
     assert ok and np.allclose(beta, [1.0, 0.5])
+
+
+@pytest.mark.parametrize("family", ["binomial", "poisson", "cox", "multinomial", "tasks"])
+def test_stability_of_other_families_finds_the_planted_features(spark, family):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 5))
+    eta = 1.5 * x[:, 0] - 1.5 * x[:, 1]
+    y = {
+        "binomial": (rng.random(600) < 1 / (1 + np.exp(-eta))).astype(float),
+        "poisson": rng.poisson(np.exp(eta / 3)).astype(float),
+        "cox": rng.exponential(np.exp(-eta)),
+        "multinomial": np.argmax(np.column_stack([eta, np.zeros(600), -eta]) + rng.gumbel(size=(600, 3)), axis=1).astype(float),
+        "tasks": eta + rng.standard_normal(600),
+    }[family]
+    pdf = pd.DataFrame(x, columns=[f"f{i}" for i in range(5)]).assign(y=y, y2=y + x[:, 0], event=1.0, id=range(600))
+    features = [f"f{i}" for i in range(5)]
+    row_groups = family in ("multinomial", "tasks")
+    sel = StabilitySelection(P.GroupLasso() if row_groups else P.Lasso(), resamples=6, n_lambdas=4, lambda_min_ratio=0.4, family="gaussian" if family == "tasks" else family)
+    sel.fit(spark.createDataFrame(pdf), features, ["y", "y2"] if family == "tasks" else "y", "id", event="event" if family == "cox" else None)
+    assert sel.probabilities_.shape == (4, 5) and (sel.probabilities_[0] <= sel.probabilities_[-1]).all()
+    assert sel.stable_[:2].all() and not sel.stable_[2:].any()
+
+
+def test_groups_are_stable_as_a_whole():
+    coefs = np.array([[0.0, 1.0, 0.0], [0.0, 0.0, 0.0]])
+    assert on_path(coefs, np.array([0, 0, 1])).tolist() == [[True, True, False], [False] * 3]
+    assert on_path(coefs[:, :, None] * np.array([0.0, 1.0])).tolist() == [[False, True, False], [False] * 3]
+
+
+def test_mfdr_selects_the_densest_lambda_within_the_target(frame):
+    path = fit_path(frame, X, "y", P.Lasso(), n_lambdas=20, lambda_min_ratio=0.01)
+    rates = MFDR(path).fit(frame, X, "y")
+    index, rate = rates.select(0.1)
+    assert rate <= 0.1 and (rates.mfdr_[index + 1 :] > 0.1).all()
+    with pytest.raises(ValueError):
+        rates.select(-1.0)
