@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from ridgeline.functions.links import WEIGHT_FLOOR, clamp
 BUCKETS = 64
 #: Distinct times up to this many are summed on the driver, by a count of them.
 LOCAL_TIMES = 200_000
+#: For the concordance: distinct (time, event, score) counts a range should hold, and the most ranges of time or score.
+RANGE_CELLS, MOST_RANGES = 100_000, 1000
 
 
 def _bucketed(times: DataFrame) -> DataFrame:
@@ -115,52 +118,85 @@ def local_surrogate(eta: np.ndarray, time: np.ndarray, event: np.ndarray, ties:
     return float(logs.sum() - (event * eta).sum()), w, eta - (e * ch - event) / w
 
 
+def _cut_into(cells: DataFrame, column: str, parts: int) -> tuple[Column, list[float]]:
+    """Ranges of a column, about as many as parts, and the values that would fill one; each of these has one to itself."""
+    cuts = cells.approxQuantile(column, [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    full = sorted({c for c, d in zip(cuts, cuts[1:], strict=False) if c == d})
+
+    def count(values: list[float], keep) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, values)), keep)) if values else F.lit(0)
+
+    return count(sorted(set(cuts)), lambda c: c < F.col(column)) + count(full, lambda c: c <= F.col(column)), full
+
+
 def concordance(df: DataFrame, time: str, event: str, score: str) -> DataFrame:
     """Harrell's c in one row (concordant, ties, pairs, c_index): of an event and a strictly later time, the event should score higher.
 
-    Rows collapse to (time, event, score) counts; pairs are counted by ranks in buckets of time: each
-    bucket meets later buckets through counts of scores, not through pairs of rows.
+    Rows collapse to (time, event, score) counts, which are dealt to ranges of time and ranges of score. Pairs in one range of
+    time are counted there by ranks, pairs in one range of score there, across times; the others follow from a table of
+    counts by both ranges, at most MOST_RANGES squared. No pair becomes a row. Without pairs c_index is 0.5.
     """
-    cells = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("d"), F.col(score).cast("double").alias("s")).dropna().groupBy("t", "d", "s").agg(F.count("*").alias("n"))
-    pdf = cells.orderBy("t", "d", "s").toPandas() if cells.count() <= 5_000_000 else None
-    if pdf is None:
-        raise ValueError("more than 5,000,000 distinct (time, event, score); round the scores")
-    return df.sparkSession.createDataFrame([_count_pairs(*(pdf[c].to_numpy() for c in ("t", "d", "s", "n")))], "concordant double, ties double, pairs double, c_index double")
-
-
-def _count_pairs(t: np.ndarray, d: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[float, float, float, float]:
-    """A Fenwick tree over score ranks, filled from the latest time backwards."""
-    levels, rank = np.unique(s, return_inverse=True)
-    tree = np.zeros(len(levels) + 1)
-
-    def add(i: int, x: float) -> None:
-        i += 1
-        while i < len(tree):
-            tree[i] += x
-            i += i & -i
-
-    def below(i: int) -> float:
-        total = 0.0
-        while i > 0:
-            total += tree[i]
-            i -= i & -i
-        return total
-
-    order = np.argsort(-t, kind="stable")
-    concordant = ties = pairs = held = 0.0
-    i = 0
-    while i < len(order):
-        j = i
-        while j < len(order) and t[order[j]] == t[order[i]]:
-            k = order[j]
-            if d[k]:
-                low, upto = below(rank[k]), below(rank[k] + 1)
-                concordant += n[k] * low
-                ties += n[k] * (upto - low)
-                pairs += n[k] * held
-            j += 1
-        for k in order[i:j]:
-            add(rank[k], n[k])
-            held += n[k]
-        i = j
-    return float(concordant), float(ties), float(pairs), float((concordant + ties / 2) / pairs) if pairs else 0.5
+    cells = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("d"), F.col(score).cast("double").alias("s")).dropna()
+    cells = cells.groupBy("t", "d", "s").agg(F.count("*").cast("double").alias("n")).persist()
+    try:
+        return _concordance(cells)
+    finally:
+        cells.unpersist()
+
+
+def _concordance(cells: DataFrame) -> DataFrame:
+    parts = int(min(MOST_RANGES, max(1, -(-cells.count() // RANGE_CELLS))))
+    (at_time, full), (at_score, _) = _cut_into(cells, "t", parts), _cut_into(cells, "s", parts)
+    cells = cells.withColumn("_t", at_time).withColumn("_s", at_score)
+
+    def count(group: pa.Table) -> pa.Table:
+        return pa.table({k: [v] for k, v in zip(("concordant", "ties", "pairs"), count_pairs(*(group.column(c).to_numpy() for c in ("t", "d", "s", "n"))), strict=True)})
+
+    schema = "concordant double, ties double, pairs double"
+    # A range of one time has no pairs of its own.
+    near = cells.filter(~F.col("t").isin(full) if full else F.lit(True)).groupBy("_t").applyInArrow(count, schema)
+    # Within a range of scores, times matter by their range alone.
+    rough = cells.groupBy("_s", F.col("_t").cast("double").alias("t"), "d", "s").agg(F.sum("n").alias("n"))
+    level = rough.groupBy("_s").applyInArrow(count, schema)
+    grid = cells.groupBy("_t", "_s").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("d") != 0, F.col("n")).otherwise(0.0)).alias("e")).toPandas()
+    later = np.zeros((int(grid["_t"].max() + 2) if len(grid) else 1, int(grid["_s"].max() + 1) if len(grid) else 1))
+    events = np.zeros_like(later)
+    later[grid["_t"], grid["_s"]], events[grid["_t"], grid["_s"]] = grid["n"], grid["e"]
+    later = np.vstack([np.cumsum(later[::-1], axis=0)[::-1][1:], np.zeros_like(later[:1])])
+    lower = np.cumsum(later, axis=1) - later
+    higher = later.sum(axis=1, keepdims=True) - lower - later
+    sums = near.unionByName(level).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("concordant", "ties", "pairs")]).first()
+    concordant, ties = sums["concordant"] + float((events * lower).sum()), sums["ties"]
+    pairs = sums["pairs"] + float((events * (lower + higher)).sum())
+    return cells.sparkSession.createDataFrame([(concordant, ties, pairs, (concordant + ties / 2) / pairs if pairs else 0.5)], schema + ", c_index double")
+
+
+def count_pairs(t: np.ndarray, d: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """(concordant, ties, pairs) of counted rows. All rows are placed from the latest time back, events of a time before its rows;
+    one stable split by each bit of the score's rank then counts, for all at once, the rows placed before an event with a smaller rank."""
+    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
+    hit = np.flatnonzero(d != 0)
+    when = np.concatenate([t[hit], t])
+    is_row = np.concatenate([np.zeros(len(hit), bool), np.ones(len(t), bool)])
+    order = np.lexsort((is_row, -when))
+    rank = np.concatenate([rank[hit], rank])[order]
+    asks = np.concatenate([n[hit], np.zeros(len(t))])[order]
+    holds = np.concatenate([np.zeros(len(hit)), n])[order]
+    pairs = float(asks @ np.cumsum(holds))
+
+    def placed_before(high: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows in order of (high, place), and for each the sum of held placed before it among those with its value of high."""
+        block = np.argsort(high, kind="stable")
+        total = np.concatenate([[0.0], np.cumsum(held[block])])
+        starts = np.flatnonzero(np.diff(high[block], prepend=-1))
+        return block, total[:-1] - np.repeat(total[starts], np.diff(np.append(starts, len(block))))
+
+    block, same = placed_before(rank, holds)
+    ties = float(asks[block] @ same)
+    concordant = 0.0
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        # Ranks that agree above this bit: those with the bit are greater than those without.
+        one = (rank >> bit) & 1
+        block, low = placed_before(rank >> (bit + 1), np.where(one == 1, 0.0, holds))
+        concordant += float((asks * one)[block] @ low)
+    return concordant, ties, pairs

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.functions import normal
+from ridgeline.functions import testing as T
 from ridgeline.operators import graphs as G
 from ridgeline.operators import ordinal as O
 from ridgeline.operators import penalties as P
@@ -78,6 +79,52 @@ def test_ordinal_correlations(spark):
     assert np.isnan(O.polyserial_correlation(df.limit(2), "o", "c"))
 
 
+def test_polyserial_keeps_far_scores(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_t(1.2, 6000)
+    o = np.digitize(np.sign(x) * np.log1p(np.abs(x)) + rng.standard_normal(6000), [-1, 0, 1])
+    z = (x - x.mean()) / x.std(ddof=1)
+    assert np.abs(z).max() > 30
+    cuts = np.concatenate([[-8.0], O.thresholds(np.bincount(o)), [8.0]])
+
+    def loss(rho):
+        root = np.sqrt(1 - rho * rho)
+        chance = normal.cdf_array((cuts[o + 1] - rho * z) / root) - normal.cdf_array((cuts[o] - rho * z) / root)
+        return -np.log(np.maximum(chance, 1e-12)).sum()
+
+    df = spark.createDataFrame(list(zip(o.tolist(), x.tolist(), strict=True)), "o int, x double")
+    assert abs(O.polyserial_correlation(df, "o", "x") - normal.minimize_bounded(loss, -1 + 1e-6, 1 - 1e-6)) < 1e-4
+
+
+@pytest.mark.parametrize("by", [[], ["family"]])
+def test_adjusted_p_values(spark, by):
+    rng = np.random.default_rng(0)
+    rows = [(i, ["a", "b", None][i % 3], float(np.round(rng.random() ** 3, 2))) for i in range(900)]
+    rows += [(1000, "a", None), (1001, "b", float("nan")), (1002, "a", 0.0), (1003, "alone", 0.5)]
+    df = spark.createDataFrame(rows, "id int, family string, p double")
+    families = {}
+    for i, f, p in rows:
+        if p is not None and p == p:
+            families.setdefault(f if by else 0, []).append((p, i))
+    want = {"bh": {}, "holm": {}, "bonferroni": {}}
+    for tests in families.values():
+        tests.sort()
+        m, held = len(tests), 1.0
+        for k in range(m, 0, -1):
+            held = min(held, tests[k - 1][0] * m / k)
+            want["bh"][tests[k - 1][1]] = held
+        held = 0.0
+        for k, (p, i) in enumerate(tests, 1):
+            held = max(held, p * (m - k + 1))
+            want["holm"][i], want["bonferroni"][i] = min(1.0, held), min(1.0, p * m)
+    for name, adjust in (("bh", T.bh_adjust), ("holm", T.holm_adjust), ("bonferroni", T.bonferroni_adjust)):
+        made = adjust(df, "p", "q", by)
+        assert made.columns == ["id", "family", "p", "q"] and adjust(df.limit(0), "p", "q", by).count() == 0
+        got = {r["id"]: r["q"] for r in made.collect()}
+        assert len(got) == len(rows) and got[1000] is None and got[1001] is None
+        assert all(abs(got[i] - q) < 1e-12 for i, q in want[name].items())
+
+
 def test_raw_matrices_and_triples(spark, tmp_path):
     from ridgeline.sources.readers import from_triples, read_matrix
 

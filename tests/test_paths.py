@@ -103,6 +103,22 @@ def test_concordance_counts_pairs(spark):
     assert got["pairs"] == len(pairs) and abs(got["c_index"] - want) < 1e-12
 
 
+@pytest.mark.parametrize("ranges", [(100_000, 1000), (40, 1000), (40, 3)])
+def test_concordance_over_ranges(spark, monkeypatch, ranges):
+    monkeypatch.setattr(cox, "RANGE_CELLS", ranges[0])
+    monkeypatch.setattr(cox, "MOST_RANGES", ranges[1])
+    r = np.random.default_rng(1)
+    t, s = np.round(r.exponential(3, 600), 2), np.round(r.normal(size=600), 2)
+    t[r.random(600) < 0.35], s[r.random(600) < 0.33] = 2.0, 0.1
+    d = (r.random(600) < 0.5).astype(int)
+    df = spark.createDataFrame([*zip(t.tolist(), d.tolist(), s.tolist(), strict=True), (None, 1, 1.0), (1.0, None, 1.0), (1.0, 1, None)], "t double, d int, s double")
+    got = cox.concordance(df, "t", "d", "s").first()
+    pair = (d == 1)[:, None] & (t[None, :] > t[:, None])
+    want = [float((pair & x).sum()) for x in (s[:, None] > s[None, :], s[:, None] == s[None, :], True)]
+    assert list(got)[:3] == want
+    assert cox.concordance(df.limit(0), "t", "d", "s").first()["c_index"] == 0.5
+
+
 def test_groups_tasks_classes(frame):
     path = fit_path(frame, X, "y", P.GroupMCP(), groups=[0, 0, 0, 1, 1, 1], n_lambdas=20, lambda_min_ratio=0.05)
     assert not path.coefs[-1][3:].any() and path.coefs[-1][:3].all()
