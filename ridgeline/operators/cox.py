@@ -118,57 +118,79 @@ def local_surrogate(eta: np.ndarray, time: np.ndarray, event: np.ndarray, ties:
     return float(logs.sum() - (event * eta).sum()), w, eta - (e * ch - event) / w
 
 
-def _cut_into(cells: DataFrame, column: str, parts: int) -> tuple[Column, list[float]]:
-    """Ranges of a column, about as many as parts, and the values that would fill one; each of these has one to itself."""
-    cuts = cells.approxQuantile(column, [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    full = sorted({c for c, d in zip(cuts, cuts[1:], strict=False) if c == d})
+def _repeated(cuts: list[float]) -> list[float]:
+    return sorted({c for c, d in zip(cuts, cuts[1:], strict=False) if c == d})
 
-    def count(values: list[float], keep) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, values)), keep)) if values else F.lit(0)
 
-    return count(sorted(set(cuts)), lambda c: c < F.col(column)) + count(full, lambda c: c <= F.col(column)), full
+def _place(value: Column, cuts: Column, full: Column) -> Column:
+    """The range of a value; a value that fills a range by itself (in full) has one of its own."""
+    return F.size(F.filter(cuts, lambda c: c < value)) + F.size(F.filter(full, lambda c: c <= value))
 
 
 def concordance(df: DataFrame, time: str, event: str, score: str) -> DataFrame:
-    """Harrell's c in one row (concordant, ties, pairs, c_index): of an event and a strictly later time, the event should score higher.
+    """Harrell's c in one row (concordant, ties, pairs, c_index), as of concordances."""
+    return concordances(df, time, event, [score]).drop("score_idx")
+
+
+def concordances(df: DataFrame, time: str, event: str, scores: list[str]) -> DataFrame:
+    """Harrell's c of each score column (score_idx, concordant, ties, pairs, c_index): of an event and a strictly later time, the event should score higher.
 
     Rows collapse to (time, event, score) counts, which are dealt to ranges of time and ranges of score. Pairs in one range of
     time are counted there by ranks, pairs in one range of score there, across times; the others follow from a table of
-    counts by both ranges, at most MOST_RANGES squared. No pair becomes a row. Without pairs c_index is 0.5.
+    counts by both ranges, at most MOST_RANGES squared for all scores together. No pair becomes a row. All scores share the
+    passes. A null leaves a row out; without pairs c_index is 0.5.
     """
-    cells = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("d"), F.col(score).cast("double").alias("s")).dropna()
-    cells = cells.groupBy("t", "d", "s").agg(F.count("*").cast("double").alias("n")).persist()
+    each = F.posexplode(F.array(*[F.col(c).cast("double") for c in scores])).alias("k", "s")
+    cells = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("d"), each).dropna()
+    cells = cells.groupBy("k", "t", "d", "s").agg(F.count("*").cast("double").alias("n")).persist()
     try:
-        return _concordance(cells)
+        found = _concordances(cells, len(scores))
     finally:
         cells.unpersist()
+    rows = [(k, c, t, p, (c + t / 2) / p if p else 0.5) for k, (c, t, p) in enumerate(found.tolist())]
+    return df.sparkSession.createDataFrame(rows, "score_idx int, concordant double, ties double, pairs double, c_index double")
+
+
+def _concordances(cells: DataFrame, scores: int) -> np.ndarray:
+    parts = int(min(MOST_RANGES / np.sqrt(scores), max(1, -(-cells.count() // (scores * RANGE_CELLS))))) or 1
+    shares = [i / parts for i in range(1, parts)]
+    full = []
+    if shares:
+        found = cells.groupBy("k").agg(F.percentile_approx("s", shares, 5 * parts).alias("c")).collect()
+        own = [(r["k"], sorted(set(r["c"])), _repeated(r["c"])) for r in found]
+        cuts = cells.approxQuantile("t", shares, 0.2 / parts)
+        full = _repeated(cuts)
+        values = lambda xs: F.array(*map(F.lit, xs)).cast("array<double>")
+        table = cells.sparkSession.createDataFrame(own, "k int, _cuts array<double>, _full array<double>")
+        at = cells.join(F.broadcast(table), "k").withColumn("_s", _place(F.col("s"), F.col("_cuts"), F.col("_full"))).drop("_cuts", "_full")
+        at = at.withColumn("_t", _place(F.col("t"), values(sorted(set(cuts))), values(full)))
+    else:
+        at = cells.withColumn("_t", F.lit(0)).withColumn("_s", F.lit(0))
 
+    def count(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        sums = count_pairs(*(group.column(c).to_numpy() for c in ("t", "d", "s", "n")))
+        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), **{c: [v] for c, v in zip(("concordant", "ties", "pairs"), sums, strict=True)}})
 
-def _concordance(cells: DataFrame) -> DataFrame:
-    parts = int(min(MOST_RANGES, max(1, -(-cells.count() // RANGE_CELLS))))
-    (at_time, full), (at_score, _) = _cut_into(cells, "t", parts), _cut_into(cells, "s", parts)
-    cells = cells.withColumn("_t", at_time).withColumn("_s", at_score)
-
-    def count(group: pa.Table) -> pa.Table:
-        return pa.table({k: [v] for k, v in zip(("concordant", "ties", "pairs"), count_pairs(*(group.column(c).to_numpy() for c in ("t", "d", "s", "n"))), strict=True)})
-
-    schema = "concordant double, ties double, pairs double"
+    schema = "k int, concordant double, ties double, pairs double"
     # A range of one time has no pairs of its own.
-    near = cells.filter(~F.col("t").isin(full) if full else F.lit(True)).groupBy("_t").applyInArrow(count, schema)
-    # Within a range of scores, times matter by their range alone.
-    rough = cells.groupBy("_s", F.col("_t").cast("double").alias("t"), "d", "s").agg(F.sum("n").alias("n"))
-    level = rough.groupBy("_s").applyInArrow(count, schema)
-    grid = cells.groupBy("_t", "_s").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("d") != 0, F.col("n")).otherwise(0.0)).alias("e")).toPandas()
-    later = np.zeros((int(grid["_t"].max() + 2) if len(grid) else 1, int(grid["_s"].max() + 1) if len(grid) else 1))
-    events = np.zeros_like(later)
-    later[grid["_t"], grid["_s"]], events[grid["_t"], grid["_s"]] = grid["n"], grid["e"]
-    later = np.vstack([np.cumsum(later[::-1], axis=0)[::-1][1:], np.zeros_like(later[:1])])
-    lower = np.cumsum(later, axis=1) - later
-    higher = later.sum(axis=1, keepdims=True) - lower - later
-    sums = near.unionByName(level).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("concordant", "ties", "pairs")]).first()
-    concordant, ties = sums["concordant"] + float((events * lower).sum()), sums["ties"]
-    pairs = sums["pairs"] + float((events * (lower + higher)).sum())
-    return cells.sparkSession.createDataFrame([(concordant, ties, pairs, (concordant + ties / 2) / pairs if pairs else 0.5)], schema + ", c_index double")
+    near = at.filter(~F.col("t").isin(full) if full else F.lit(True)).groupBy("k", "_t").applyInArrow(count, schema)
+    if shares:
+        # Within a range of scores, times matter by their range alone.
+        rough = at.groupBy("k", "_s", F.col("_t").cast("double").alias("t"), "d", "s").agg(F.sum("n").alias("n"))
+        near = near.unionByName(rough.groupBy("k", "_s").applyInArrow(count, schema))
+    out = np.zeros((scores, 3))
+    for r in near.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("concordant", "ties", "pairs")]).collect():
+        out[r["k"]] = r["concordant"], r["ties"], r["pairs"]
+    if shares:
+        grid = at.groupBy("k", "_t", "_s").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("d") != 0, F.col("n")).otherwise(0.0)).alias("e")).toPandas()
+        for k, g in grid.groupby("k"):
+            held = np.zeros((g["_t"].max() + 1, g["_s"].max() + 1))
+            events = np.zeros_like(held)
+            held[g["_t"], g["_s"]], events[g["_t"], g["_s"]] = g["n"], g["e"]
+            later = np.cumsum(held[::-1], axis=0)[::-1] - held
+            lower = np.cumsum(later, axis=1) - later
+            out[k] += (events * lower).sum(), 0.0, (events * (later.sum(axis=1, keepdims=True) - later)).sum()
+    return out
 
 
 def count_pairs(t: np.ndarray, d: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:

@@ -104,10 +104,9 @@ def score_path(df: DataFrame, path: PathResult, features: str | None, y: str, ev
     """The family's score at every lambda: deviance, log loss, or for Cox the concordance (higher is better)."""
     some = range(len(path.lambdas))
     if path.datafit == "cox":
-        rows = df.select(y, event, *[scoring.linear_predictor(path, i, features).alias(f"_s{i}") for i in some]).persist()
-        out = np.array([cox.concordance(rows, y, event, f"_s{i}").first()["c_index"] for i in some])
-        rows.unpersist()
-        return out
+        rows = df.select(y, event, *[scoring.linear_predictor(path, i, features).alias(f"_s{i}") for i in some])
+        found = cox.concordances(rows, y, event, [f"_s{i}" for i in some]).collect()
+        return np.array([r["c_index"] for r in sorted(found, key=lambda r: r["score_idx"])])
     target = F.col(y).cast("double") if path.datafit != "multinomial" else F.coalesce(*[F.when(F.col(y) == c, i) for i, c in enumerate(path.labels)])
     metric = scoring.multinomial_loss if path.datafit == "multinomial" else scoring.METRICS[path.datafit]
     return np.array([x if x is not None else np.nan for x in df.agg(*[metric(target, scoring.linear_predictor(path, i, features, offset)).alias(f"_m{i}") for i in some]).first()], float)

@@ -116,6 +116,8 @@ def test_concordance_over_ranges(spark, monkeypatch, ranges):
     pair = (d == 1)[:, None] & (t[None, :] > t[:, None])
     want = [float((pair & x).sum()) for x in (s[:, None] > s[None, :], s[:, None] == s[None, :], True)]
     assert list(got)[:3] == want
+    both = cox.concordances(df.withColumn("u", -F.col("s")), "t", "d", ["s", "u"]).orderBy("score_idx").collect()
+    assert list(both[0])[1:4] == want and list(both[1])[1:4] == [want[2] - want[0] - want[1], *want[1:]]
     assert cox.concordance(df.limit(0), "t", "d", "s").first()["c_index"] == 0.5
 
 
