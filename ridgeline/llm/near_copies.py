@@ -25,7 +25,7 @@ TASK_ROWS, TASK_BYTES = 1024, 4 << 20
 FEW = 32
 
 #: Texts hashed at a time, so that a worker's arrays stay small.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
