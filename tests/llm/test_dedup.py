@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from ridgeline.llm import near_copies, simhash
+from ridgeline.llm.common import split_hot_join
 from ridgeline.llm.components import connected_components
 from ridgeline.llm.exact_dedup import Snapshot, dedup_against, exact_groups, text_digests
 from ridgeline.llm.fuse_filter import FuseFilter
@@ -190,6 +191,15 @@ def test_pipeline_drops_what_is_0_8_similar_and_only_that(spark, tmp_path):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("hot", [0, 400, 800])
+def test_the_join_of_fingerprints_makes_a_row_for_each_at_most(spark, hot):
+    rows = [(i, i % 8, 7 if i < hot else i // 2) for i in range(2000)]
+    each = spark.createDataFrame(rows, "node long, space int, fp long")
+    groups = each.groupBy("space", "fp").agg({"node": "min", "*": "count"}).toDF("space", "fp", "_n", "low")
+    got = split_hot_join(each, groups, ["space", "fp"], "_n", len(rows)).collect()
+    assert sorted(r["node"] for r in got) == list(range(2000))
+
+
 def test_shared_shingles_are_counted():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in rng.integers(0, 200, 90)]
