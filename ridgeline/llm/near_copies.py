@@ -26,6 +26,8 @@ FEW = 32
 
 #: Texts hashed at a time, so that a worker's arrays stay small.
 SLICE_BYTES = 1 << 18
+#: Fingerprints a task spreads over the covering tables: 15 rows each meet in its hash table, and hardly any of them combine.
+TASK_PRINTS = 50_000
 
 
 def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -121,7 +123,8 @@ def candidates(nodes: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     each = materialize(nodes.select("node", F.posexplode("prints").alias("space", "fp")), "near_prints")
     groups = materialize(each.groupBy("space", "fp").agg(F.min("node").alias("low"), F.count("*").alias("_n")), "near_print_groups")
     n = groups.count()
-    links = materialize(fingerprint_links(groups.select("space", "fp"), radius=radius), "near_print_links")
+    spread = groups.select("space", "fp").repartition(-(-n // TASK_PRINTS) or 1, "fp")
+    links = materialize(fingerprint_links(spread, radius=radius), "near_print_links")
     # Many fingerprints may link to one, which makes it hot on that side of the joins.
     heads = links.groupBy("space", F.col("v").alias("fp")).agg(F.count("*").alias("_m")).join(groups.select("space", "fp", "low"), ["space", "fp"]).withColumnRenamed("fp", "v")
     ends = split_hot_join(links, materialize(heads, "near_print_heads"), ["space", "v"], "_m", n).select("space", "u", F.col("low").alias("b"))

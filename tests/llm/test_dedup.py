@@ -191,6 +191,18 @@ def test_pipeline_drops_what_is_0_8_similar_and_only_that(spark, tmp_path):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_fingerprints_go_to_tasks_of_bounded_size(spark, monkeypatch):
+    values, seen = [[int(x) for x in row] for row in np.random.default_rng(8).integers(0, 2**62, (200, 2))], []
+    values += [[a ^ 5, b + 2**61] for a, b in values[:50]]
+    nodes = spark.createDataFrame(list(enumerate(values)), "node long, prints array<long>").coalesce(1)
+    links = near_copies.fingerprint_links
+    monkeypatch.setattr(near_copies, "TASK_PRINTS", 60, raising=False)
+    monkeypatch.setattr(near_copies, "fingerprint_links", lambda rows, **more: seen.append([len(x) for x in rows.rdd.glom().collect()]) or links(rows, **more))
+    got = {(r["node"], r["root"]) for r in near_copies.candidates(nodes).collect()}
+    assert got == {(i, i % 200) for i in [*range(50), *range(200, 250)]}
+    assert sum(seen[0]) == 500 and max(seen[0]) <= 2 * 60
+
+
 @pytest.mark.parametrize("hot", [0, 400, 800])
 def test_the_join_of_fingerprints_makes_a_row_for_each_at_most(spark, hot):
     rows = [(i, i % 8, 7 if i < hot else i // 2) for i in range(2000)]
