@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ FEW = 32
 SLICE_BYTES = 1 << 18
 #: Fingerprints a task spreads over the covering tables: 15 rows each meet in its hash table, and hardly any of them combine.
 TASK_PRINTS = 50_000
+#: Nodes of one fingerprint are listed in so many parts first: a list has one in so many of them, and the list of the parts no more than that.
+PARTS = 1024
 
 
 def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -115,22 +118,35 @@ def copy_links(node: np.ndarray, sets: list[np.ndarray], similarity: tuple[int,
     return out
 
 
+def listed(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows (keys, node) by key: (keys, low, nodes) twice, whose links from nodes to low join all nodes of a key.
+
+    The first has a list for each part of a key, the second the smallest node of each part, so rows meet only those they link to
+    and no task gets all rows of a common key.
+    """
+    part = F.pmod(F.xxhash64("node"), F.lit(PARTS))
+    parts = materialize(rows.groupBy(*keys, part.alias("_part")).agg(F.min("node").alias("low"), F.collect_list("node").alias("nodes")), "near_parts")
+    heads = parts.groupBy(*keys).agg(F.min("low").alias("low"), F.collect_list("low").alias("nodes"))
+    return parts.drop("_part"), materialize(heads, "near_heads")
+
+
+def _links(lists: DataFrame) -> DataFrame:
+    return lists.filter(F.size("nodes") > 1).select(F.explode("nodes").alias("u"), F.col("low").alias("v"))
+
+
 def candidates(nodes: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     """(node, root): components of the nodes (node, prints) with a fingerprint of the same place that chains of at most `radius` bits join.
 
     Each fingerprint stands for all nodes that have it, by a link to their smallest, so it costs its rows.
     """
-    each = materialize(nodes.select("node", F.posexplode("prints").alias("space", "fp")), "near_prints")
-    groups = materialize(each.groupBy("space", "fp").agg(F.min("node").alias("low"), F.count("*").alias("_n")), "near_print_groups")
-    n = groups.count()
-    spread = groups.select("space", "fp").repartition(-(-n // TASK_PRINTS) or 1, "fp")
+    parts, groups = listed(nodes.select("node", F.posexplode("prints").alias("space", "fp")), ["space", "fp"])
+    spread = groups.select("space", "fp").repartition(-(-groups.count() // TASK_PRINTS) or 1, "fp")
     links = materialize(fingerprint_links(spread, radius=radius), "near_print_links")
-    # Many fingerprints may link to one, which makes it hot on that side of the joins.
-    heads = links.groupBy("space", F.col("v").alias("fp")).agg(F.count("*").alias("_m")).join(groups.select("space", "fp", "low"), ["space", "fp"]).withColumnRenamed("fp", "v")
-    ends = split_hot_join(links, materialize(heads, "near_print_heads"), ["space", "v"], "_m", n).select("space", "u", F.col("low").alias("b"))
-    across = ends.join(groups.select("space", F.col("fp").alias("u"), F.col("low").alias("a")), ["space", "u"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    within = split_hot_join(each, groups.filter("_n > 1"), ["space", "fp"], "_n", each.count()).select(F.col("node").alias("u"), F.col("low").alias("v"))
-    return connected_components(across.union(within).filter("u != v").distinct())
+    # Many fingerprints may link to one: their nodes and its own are listed under it.
+    ends = links.select("space", F.col("u").alias("fp"), "v").union(links.select("space", F.col("v").alias("fp"), "v").distinct())
+    across = listed(ends.join(groups.select("space", "fp", F.col("low").alias("node")), ["space", "fp"]).select("space", "v", "node"), ["space", "v"])
+    edges = [_links(lists) for lists in (parts, groups, *across)]
+    return connected_components(reduce(DataFrame.union, edges).filter("u != v").distinct())
 
 
 def near_copies(docs: DataFrame, *, row: str, words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY, prints: int = FINGERPRINTS, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

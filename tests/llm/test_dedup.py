@@ -212,6 +212,20 @@ def test_the_join_of_fingerprints_makes_a_row_for_each_at_most(spark, hot):
     assert sorted(r["node"] for r in got) == list(range(2000))
 
 
+@pytest.mark.parametrize("parts", [1, 3, 1024])
+def test_nodes_of_a_common_fingerprint_are_listed_and_not_joined(spark, monkeypatch, parts):
+    rng, made = np.random.default_rng(9), []
+    monkeypatch.setattr(near_copies, "PARTS", parts, raising=False)
+    values = [[7, 2**61 + i] for i in range(300)] + [[int(x) for x in row] for row in rng.integers(0, 2**62, (300, 2))]
+    values += [[6, int(rng.integers(0, 2**62))]] + [[values[400][0] ^ 1 << i, int(rng.integers(0, 2**62))] for i in range(30, 60)]
+    nodes = spark.createDataFrame(list(enumerate(values)), "node long, prints array<long>")
+    monkeypatch.setattr(near_copies, "connected_components", lambda edges: made.append(edges) or connected_components(edges))
+    got = {r["node"]: r["root"] for r in near_copies.candidates(nodes).collect()}
+    assert all(got[i] == 0 for i in [*range(300), 600]) and all(got[i] == 400 for i in [400, *range(601, 631)]) and len(got) == 332
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "fp#" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
 def test_shared_shingles_are_counted():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in rng.integers(0, 200, 90)]
